@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .media import op10_media
 from .mix import ORACLE as MIX_SQL
 from .mix import op1_mix
+from .quality import op4_quality
+from .simhash import op8_simhash
+from .toxicity import op9_toxicity
 
-QUERIES = {"op1_mix": op1_mix, "op5_bpe": op5_bpe}
+QUERIES = {"op1_mix": op1_mix, "op4_quality": op4_quality, "op5_bpe": op5_bpe, "op8_simhash": op8_simhash, "op9_toxicity": op9_toxicity, "op10_media": op10_media}
 ORACLE_SQLS = {"op1_mix": MIX_SQL}
