@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .byterepeats import op3_byte_repeats
 from .embeddings import op7_embeddings
 from .lines import op6_lines
 from .media import op10_media
@@ -13,5 +14,5 @@ from .simhash import op8_simhash
 from .toxicity import op9_toxicity
 from .wordrepeats import op2_word_repeats
 
-QUERIES = {"op1_mix": op1_mix, "op2_word_repeats": op2_word_repeats, "op4_quality": op4_quality, "op5_bpe": op5_bpe, "op6_lines": op6_lines, "op7_embeddings": op7_embeddings, "op8_simhash": op8_simhash, "op9_toxicity": op9_toxicity, "op10_media": op10_media}
+QUERIES = {"op1_mix": op1_mix, "op2_word_repeats": op2_word_repeats, "op3_byte_repeats": op3_byte_repeats, "op4_quality": op4_quality, "op5_bpe": op5_bpe, "op6_lines": op6_lines, "op7_embeddings": op7_embeddings, "op8_simhash": op8_simhash, "op9_toxicity": op9_toxicity, "op10_media": op10_media}
 ORACLE_SQLS = {"op1_mix": MIX_SQL}

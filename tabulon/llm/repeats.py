@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, mixed, text_bytes
+from .common import byte_groups, keep, mixed, powers, text_bytes
 
 #: Tokens of a long text are looked at in blocks of so many, which overlap by a window.
 BLOCK_TOKENS = 1 << 21
@@ -31,9 +31,12 @@ def window_minima(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - reach)], x[width - reach :]) if width > reach else x
 
 
-def segments(tokens: np.ndarray, bounds: np.ndarray, window: int, k: int, pows: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+def segments(tokens: np.ndarray, bounds: np.ndarray, window: int, k: int, pows: tuple[np.ndarray, np.ndarray], wide: bool = False) -> tuple[np.ndarray, ...]:
     """tokens: a 64-bit value each, of concatenated texts (bounds). Returns for each segment its text, its first token
-    (from the text's start), its number of windows, its anchor's hash and the hash of its tokens."""
+    (from the text's start), its number of windows, its anchor's hash and the hash of its tokens.
+
+    wide: the half of the windows that reach far to the left of the anchor are a segment of their own, and what all of a
+    segment's windows share beside the anchor counts as the anchor: fewer are alike by chance, for twice the segments."""
     n = len(tokens)
     none = tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     if n < window:
@@ -49,14 +52,21 @@ def segments(tokens: np.ndarray, bounds: np.ndarray, window: int, k: int, pows:
     starts, text, anchor = starts[fits], text[fits], anchor[fits].astype(np.int64)
     if not len(starts):
         return none
+    half = window // 2
+    far = (anchor - starts >= half) & wide
     new = np.ones(len(starts), dtype=bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]) | (starts[1:] != starts[:-1] + 1)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]) | (starts[1:] != starts[:-1] + 1) | (far[1:] != far[:-1])
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(starts)))
     begin = starts[first]
     end = begin + count + window - 1
     digest = mixed((sums[end] - sums[begin]) * pows[1][begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return text[first], begin - bounds[text[first]], count, grams[anchor[first]], digest
+    name = grams[anchor[first]]
+    if wide:
+        side = far[first]
+        a, b = np.where(side, anchor[first] - half, anchor[first]), np.where(side, anchor[first] + k, anchor[first] + window - half + 1)
+        name = mixed((sums[b] - sums[a]) * pows[1][a] + side.astype(np.uint64) + np.uint64(1))
+    return text[first], begin - bounds[text[first]], count, name, digest
 
 
 def blocks_of(bounds: np.ndarray, window: int, size: int = BLOCK_TOKENS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -73,13 +83,11 @@ def blocks_of(bounds: np.ndarray, window: int, size: int = BLOCK_TOKENS) -> Iter
             row = last
 
 
-def segment_table(docs: DataFrame, tokenize: Callable, window: int, k: int) -> DataFrame:
+def segment_table(docs: DataFrame, tokenize: Callable, window: int, k: int, wide: bool = False) -> DataFrame:
     """(anchor, digest, doc, at, windows) of all segments. docs: doc (a 64-bit name), text. tokenize(data, bounds): token
     values and bounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .common import byte_groups, powers
-
         pows = powers(1 << 16)
         for batch in batches:
             data, bounds = text_bytes(batch.column(1))
@@ -89,16 +97,16 @@ def segment_table(docs: DataFrame, tokenize: Callable, window: int, k: int) -> D
                 for starts, ends, rows in blocks_of(own, window):
                     if len(pows[0]) <= ends[-1] - starts[0]:
                         pows = powers(int(ends[-1] - starts[0]) + (1 << 16))
-                    text, at, count, anchor, digest = segments(tokens[starts[0] : ends[-1]], np.append(starts, ends[-1]) - starts[0], window, k, pows)
+                    text, at, count, anchor, digest = segments(tokens[starts[0] : ends[-1]], np.append(starts, ends[-1]) - starts[0], window, k, pows, wide)
                     at = at + (starts - own[rows])[text]
                     yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(names[a + rows[text]]), pa.array(at), pa.array(count.astype(np.int32))], names=["anchor", "digest", "doc", "at", "windows"])
 
     return docs.select("doc", "text").mapInArrow(run, "anchor long, digest long, doc long, at long, windows int")
 
 
-def repeated_segments(docs: DataFrame, tokenize: Callable, window: int, k: int) -> DataFrame:
+def repeated_segments(docs: DataFrame, tokenize: Callable, window: int, k: int, wide: bool = False) -> DataFrame:
     """The segments whose anchor stands more than once, written."""
-    found = segment_table(docs, tokenize, window, k)
+    found = segment_table(docs, tokenize, window, k, wide)
     often = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     return keep(found.join(often, "anchor"), "segments")
 

@@ -11,7 +11,6 @@ repeated texts; an empty table gives none; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
