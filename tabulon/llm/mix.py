@@ -49,16 +49,15 @@ def source_targets(sized: DataFrame, weights: Sequence[float], share: float, rou
     everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     per = per.withColumn("budget", F.lit(float(share)) * F.sum("source_size").over(everything))
     per = per.withColumn("level", (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    per = per.withColumn("level", F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(everything))
+    per = per.withColumn("level", F.max(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(everything))
     target = F.coalesce(F.least(F.col("cap"), F.col("weight") * F.col("level")), F.col("cap"))
     return per.select("source", "source_size", "source_rows", target.alias("target"), "budget")
 
 
-def mix(docs: DataFrame, size: Column, *, key: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, rounds: int = ROUNDS, seed: int = SEED, carry: Sequence[str] = ()) -> DataFrame:
-    """Rows of `docs` as (key, size, source_size, target, taken, copies, *carry): how much of each the mix takes."""
+def mix(docs: DataFrame, size: Column, *, key: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
+    """Rows of `docs` as (key, size, source_size, target, taken, copies): how much of each the mix takes."""
     spark = docs.sparkSession
-    carry = [c for c in carry if c not in (key, "size", "source")]
-    sized = keep(docs.select(F.col(key), F.col(source).alias("source"), size.alias("size"), shuffled(F.col(key), seed).alias("place"), *carry), "mix-sized")
+    sized = keep(docs.select(F.col(key), F.col(source).alias("source"), size.alias("size"), shuffled(F.col(key), seed).alias("place")), "mix-sized")
     targets = keep(source_targets(sized, weights, share, rounds), "mix-targets")
     named = lambda df: df.withColumns({"source_null": F.col("source").isNull(), "source": F.coalesce("source", F.lit(""))})
     rows = join_small(named(sized), named(targets), ["source_null", "source"], F.col("place"))
@@ -70,7 +69,7 @@ def mix(docs: DataFrame, size: Column, *, key: str = "doc_id", source: str = "so
     slice_sizes = rows.groupBy(*at).agg(F.sum("size").alias("slice_size"))
     offsets = slice_sizes.select(*at, F.coalesce(F.sum("slice_size").over(ahead), F.lit(0)).alias("offset"))
     rows = rows.withColumn("so_far", F.sum("size").over(within)).join(offsets, at).withColumn("so_far", F.col("so_far") + F.col("offset"))
-    rows = keep(rows.select(key, "size", "source_size", "target", "budget", "place", "so_far", *carry), "mix-rows")
+    rows = keep(rows.select(key, "size", "source_size", "target", "budget", "place", "so_far"), "mix-rows")
 
     def finish(round_: Column) -> Column:
         return (round_ * F.col("source_size") + F.col("so_far")).cast("double") / F.col("target")
@@ -88,7 +87,7 @@ def mix(docs: DataFrame, size: Column, *, key: str = "doc_id", source: str = "so
             break
         ahead_of += total
     if cut_part is None:
-        return rows.select(key, "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).alias("copies"), *carry)
+        return rows.select(key, "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).alias("copies"))
     running = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     last = queue.where(F.col("part") == cut_part).withColumn("before", F.coalesce(F.sum("size").over(running), F.lit(0)) + ahead_of)
     cut = last.where(F.col("before") < F.col("budget")).agg(F.max(F.struct(*order)).alias("cut")).first()["cut"]
@@ -100,7 +99,7 @@ def mix(docs: DataFrame, size: Column, *, key: str = "doc_id", source: str = "so
 
     copies = sum((in_mix(r) for r in range(1, rounds)), in_mix(0))
     rows = rows.withColumn("copies", F.coalesce(F.when(F.col("target") > 0, copies), F.lit(0)))
-    return rows.select(key, "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", *carry)
+    return rows.select(key, "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +120,7 @@ def mix_sql(docs: str = "documents") -> str:
              sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_after
       FROM weighed),
     levelled AS (SELECT *, (budget - cap_before) / weight_after AS lv FROM filled),
-    leveled AS (SELECT *, min(CASE WHEN lv <= cap / weight THEN lv END) OVER () AS level FROM levelled),
+    leveled AS (SELECT *, max(CASE WHEN lv <= cap / weight THEN lv END) OVER () AS level FROM levelled),
     targets AS (SELECT source, source_size, coalesce(least(cap, weight * level), cap) AS target, budget FROM leveled),
     placed AS (
       SELECT s.doc_id, s.size, s.place, t.source_size, t.target, t.budget,

@@ -142,12 +142,31 @@ def fold(key: Column, n: int, held: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(n)) == held
 
 
+def training(stats: DataFrame, marks: DataFrame, key: str, label: str) -> DataFrame:
+    """Statistics and label of the labelled rows that are not held out; equal ones once."""
+    marked = marks.select(F.col(key), F.col(label).cast("int").alias("__label"))
+    return join_small(stats.where(~fold(F.col(key), 5, 0)), marked, [key], limit=1_000_000, copies=1).select("__label", *NAMES).distinct()
+
+
+def keep_good(docs: DataFrame, marks: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """The rows of docs, whole, that the classifier predicts to be good."""
+    labelled = join_small(docs.select(key, text), marks.select(key).distinct(), [key], limit=1_000_000, copies=1)
+    model = fit(training(with_statistics(labelled, key, text), marks, key, label), "__label")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, bounds = text_bytes(batch.column(batch.schema.get_field_index(text)))
+            for a, b in byte_groups(bounds):
+                score = model.scores(statistics(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])) if model else np.full(b - a, 0.5)
+                yield batch.slice(a, b - a).filter(pa.array(score >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_table(docs: DataFrame, marks: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", carry: tuple[str, ...] = ()) -> DataFrame:
     """(key, *carry, held_out, score, predicted) for every row."""
     stats = keep(with_statistics(docs, key, text, carry), "quality-statistics")
-    marked = marks.select(F.col(key), F.col(label).cast("int").alias("__label"))
-    train = stats.select(key, *NAMES).where(~fold(F.col(key), 5, 0)).transform(lambda t: join_small(t, marked, [key], limit=1_000_000, copies=1)).select("__label", *NAMES).distinct()
-    model = fit(train, "__label")
+    model = fit(training(stats.select(key, *NAMES), marks, key, label), "__label")
     extra = [c for c in stats.columns if c not in (key, *NAMES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -148,6 +148,15 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return prints.join(by_print, "fp").select(key, "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, whole, less all but the one with the smallest key of each group of near duplicates; a row without a
+    key gives way to those with one, and rows repeated in full are one."""
+    named = docs.withColumn("__row", F.struct(F.col(key).isNull().alias("missing"), F.col(key).alias("key"), F.xxhash64(text).alias("text")))
+    found = near_duplicates(named, key="__row", text=text)
+    stays = found.where(F.col("__row") == F.col("component_id")).select("__row").distinct()
+    return named.join(stays, "__row").dropDuplicates(["__row"]).drop("__row")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
