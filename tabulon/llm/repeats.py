@@ -107,7 +107,8 @@ def segment_table(docs: DataFrame, tokenize: Callable, window: int, k: int, wide
 def repeated_segments(docs: DataFrame, tokenize: Callable, window: int, k: int, wide: bool = False) -> DataFrame:
     """The segments whose anchor stands more than once, written."""
     found = segment_table(docs, tokenize, window, k, wide)
-    often = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # written first: a join of two plain exchanges is one whose large partitions Spark splits
+    often = keep(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     return keep(found.join(often, "anchor"), "segments")
 
 
