@@ -1,0 +1,155 @@
+"""Near duplicates against brute force: SimHash, embeddings, lines; and components."""
+
+import random
+import re
+from collections import defaultdict
+
+import numpy as np
+import xxhash
+from pyspark.sql import functions as F
+
+from tabulon.llm import components, embeddings, lines, simhash
+
+
+class Sets:
+    def __init__(self):
+        self.up = {}
+
+    def find(self, x):
+        self.up.setdefault(x, x)
+        while self.up[x] != x:
+            x = self.up[x]
+        return x
+
+    def join(self, a, b):
+        a, b = self.find(a), self.find(b)
+        self.up[max(a, b)] = min(a, b)
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5001 + i) for i in range(200)] + [(7, 7)]
+    sets = Sets()
+    for a, b in pairs:
+        if a != b:
+            sets.join(a, b)
+    got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: sets.find(x) for x in list(sets.up)}
+
+
+def test_fingerprint_bits():
+    text = "The THE the cat sat, on  the\tmat"
+    words = [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]), 42) for i in range(len(words) - 2)]
+    want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    assert simhash.fingerprint(text.encode()) == want
+    assert simhash.fingerprint(b"Two Words") == xxhash.xxh64_intdigest("two words", 42)
+    assert simhash.fingerprint(b" \n") == 0
+
+
+def test_gray_index_finds_all_pairs():
+    rng = np.random.default_rng(2)
+    values = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    values = np.unique(np.concatenate([values, values[:200] ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64)), values[:50] ^ np.uint64(0b11)]))
+    index = simhash.GrayIndex(values)
+    a, b = index.search(0, len(values), 2)
+    got = {tuple(sorted((int(index.values[x]), int(index.values[y])))) for x, y in zip(a, b, strict=True)}
+    assert got == {(int(x), int(y)) for i, x in enumerate(values) for y in values[i + 1 :] if np.bitwise_count(x ^ y) <= 2}
+
+
+def test_simhash(spark, corpus):
+    data = [*corpus, (2000, ""), (2001, None), (None, "")]
+    prints = {i: simhash.fingerprint((t or "").encode()) for i, t in data}
+    sets = Sets()
+    for i in prints:
+        for j in prints:
+            if None not in (i, j) and (prints[i] ^ prints[j]).bit_count() <= 2:
+                sets.join(i, j)
+    got = simhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == {i: sets.find(i) for i in prints if i is not None}
+    assert [r["component_id"] for r in got if r["doc_id"] is None] == [2000]
+
+
+def test_one_of_each_and_odd_rows(odd_docs, no_docs):
+    kept = simhash.one_of_each(odd_docs)
+    assert kept.columns == odd_docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 5]
+    assert simhash.one_of_each(no_docs).count() == 0
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(60, 48))
+    rows = []
+    for i in range(60):
+        for _ in range(1 + (i % 4) * 2):
+            rows.append((len(rows), (base[i] + rng.normal(size=48) * 0.06).astype(np.float32).tolist(), i % 3))
+    rows += [(5000 + i, rows[0][1], 0) for i in range(4)] + [(6000, rows[0][1], 1), (6001, rows[0][1], None)]
+    bad = [(7000, None, 0), (7001, [0.0] * 48, 0), (7002, [float("nan")] * 48, 0), (7003, [None] * 48, 0), (7004, [], 0), (7005, [1.0, 2.0], 0)]
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links, sets = defaultdict(int), Sets()
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows):
+            if i != j and a[2] is not None and a[2] == b[2] and x[i] @ x[j] >= 0.98:
+                links[a[0]] += 1
+                sets.join(a[0], b[0])
+    got = {r["vec_id"]: r for r in embeddings.near_vectors(spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, label int")).collect()}
+    found = sum(r["n_links"] for r in got.values())
+    assert found >= 0.9 * sum(links.values()) and all(got[k]["n_links"] <= links[k] for k in got)
+    assert found == sum(links.values())
+    assert all(got[r[0]]["component_id"] == sets.find(r[0]) for r in rows)
+    assert all(got[r[0]]["n_links"] == 0 and got[r[0]]["kept"] for r in bad)
+    assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def plain_line(line):
+    return re.sub(r"\s+", " ", line.lower()).strip(" ")
+
+
+def test_lines(spark, corpus):
+    data = [(i, t + "\nshared line of boiler plate text number one\n" + f"shared line of boiler plate text number one and also word{i % 3} to end it all with some more words\n") for i, t in corpus]
+    shingles = lambda s: frozenset(m[1] for m in re.finditer(r"(?<![^ ])(?=([^ ].{0,11}))", s))
+    seen: dict[str, int] = {}
+    for _, t in data:
+        for x in map(plain_line, t.split("\n")):
+            if x:
+                seen.setdefault(x, len(seen))
+    names, sets = list(seen), Sets()
+    sh = [shingles(n) for n in names]
+    for i in range(len(names)):
+        sets.find(i)
+        for j in range(i):
+            both = len(sh[i] & sh[j])
+            if both and both >= 0.8 * (len(sh[i]) + len(sh[j]) - both):
+                sets.join(i, j)
+    first, gone = set(), {}
+    for i, t in data:
+        kept = []
+        for x in t.split("\n"):
+            p = plain_line(x)
+            g = sets.find(seen[p]) if p else None
+            if g is None or g not in first:
+                kept.append(x)
+            if g is not None:
+                first.add(g)
+        gone[i] = "\n".join(kept)
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    wrong = [i for i in gone if got[i] != gone[i]]
+    assert len(wrong) <= 0.02 * len(gone), wrong
+
+
+def test_lines_odd_rows(odd_docs, no_docs):
+    got = lines.dedup_lines(odd_docs)
+    assert got.columns == [*odd_docs.columns, "n_lines", "n_removed"]
+    rows = got.collect()
+    assert len(rows) == odd_docs.count()
+    assert [(r["text"], r["n_lines"]) for r in rows if r["doc_id"] is None] == [(None, 0)]
+    assert [r["text"] for r in rows if r["doc_id"] == 3] == ["one", "one"]  # rows repeated in full are one document
+    assert [r["text"] for r in rows if r["doc_id"] == 2] == [" \t\n\x0b"]
+    assert lines.dedup_lines(no_docs).count() == 0
+
+
+def test_line_shingles(spark):
+    got = spark.range(1).select(F.size(lines.shingles(F.lit("ab cd ef"))), F.size(lines.shingles(F.lit("ab ab ab")))).first()
+    assert tuple(got) == (3, 3)
