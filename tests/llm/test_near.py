@@ -153,3 +153,28 @@ def test_lines_odd_rows(odd_docs, no_docs):
 def test_line_shingles(spark):
     got = spark.range(1).select(F.size(lines.shingles(F.lit("ab cd ef"))), F.size(lines.shingles(F.lit("ab ab ab")))).first()
     assert tuple(got) == (3, 3)
+
+
+def test_line_families_are_whole(spark):
+    """Large buckets lose no link: variants of one line that form some components, and lines like a pivot and like another."""
+    rng = random.Random(5)
+    base = [f"wording{i}part{rng.randrange(10**6)}" for i in range(10)]
+    family = []
+    for i in range(400):
+        words = list(base)
+        words[i % 10] = f"other{i}word{rng.randrange(10**6)}"
+        family.append(" ".join(words))
+    chain = [" ".join([*[f"new{j}word{j * 7919}" for j in range(i)], *base[i:]]) for i in range(1, 10)]
+    names = [plain_line(x) for x in [*family, *chain]]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id long, line string")
+    sh = dict(df.select("id", F.array_distinct(lines.shingles(F.col("line")))).collect())
+    bands = dict(df.select("id", lines.shingles(F.col("line")).alias("h")).select("id", F.array(*[lines.band(F.col("h"), b) for b in range(lines.BANDS)])).collect())
+    sets = Sets()
+    for i in range(len(names)):
+        for j in range(i):
+            both = len(set(sh[i]) & set(sh[j]))
+            meet = any(x == y for x, y in zip(bands[i], bands[j], strict=True))
+            if meet and both >= 0.8 * (len(sh[i]) + len(sh[j]) - both):
+                sets.join(i, j)
+    got = {r["id"]: r["component"] for r in components.components(lines.similar_lines(df)).collect()}
+    assert got == {x: sets.find(x) for x in list(sets.up)}
