@@ -178,3 +178,13 @@ def test_line_families_are_whole(spark):
                 sets.join(i, j)
     got = {r["id"]: r["component"] for r in components.components(lines.similar_lines(df)).collect()}
     assert got == {x: sets.find(x) for x in list(sets.up)}
+
+
+def test_lines_without_spaces(spark):
+    """Characters beyond a word's twelfth count: lines that only begin alike stay, near copies of long words go."""
+    cjk = "".join(chr(0x4E00 + i * 37 % 2000) for i in range(160))
+    rows = ["https://www.alpha.org/news/1", "https://www.beta.com/shop/99", cjk[:12] + cjk[40:90], cjk[:12] + cjk[100:150], cjk, cjk[:150] + "終"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert [r["n_removed"] for r in lines.dedup_lines(docs).orderBy("doc_id").collect()] == [0, 0, 0, 0, 0, 1]
+    short = spark.range(1).select(F.size(lines.shingles(F.lit("a twelvecharsx b twelvechars1"))), F.size(lines.shingles(F.lit("thirteenchars"))), F.size(lines.shingles(F.lit("no longer words here")))).first()
+    assert tuple(short) == (4, 2, 4)
