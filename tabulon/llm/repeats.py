@@ -5,6 +5,11 @@ leftmost of equals. Windows that follow each other and share an anchor are a seg
 once in the corpus hold no repeated window; the others are gathered by anchor, equal ones counted as one with their
 number, and an index of each shard of anchors tells which of their windows repeat. Every comparison that decides is on
 the tokens themselves; hashes of 64 bits only choose what is compared, and name documents and equal segments.
+
+Where an anchor has many different segments, these are cut by how far a window starts before the anchor, and what all
+windows of a piece share is its anchor: equal windows have the same place of the anchor, so they stay together. That is done
+again, with half the width each time, until the different segments of each anchor are few; at the width of one window the
+anchor is the window itself, and all its segments are equal.
 """
 
 from __future__ import annotations
@@ -112,6 +117,78 @@ def repeated_segments(docs: DataFrame, tokenize: Callable, window: int, k: int,
     return keep(found.join(often, "anchor"), "segments")
 
 
+def finer_segments(docs: DataFrame, hot: DataFrame, tokenize: Callable, window: int, k: int, width: int) -> DataFrame:
+    """Segments cut where the distance from a window's start to the anchor passes a multiple of width, with the tokens that all
+    windows of a piece share as its anchor."""
+    per = hot.groupBy("doc").agg(F.collect_set(F.struct("at", "windows")).alias("wanted"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, bounds = text_bytes(batch.column(1))
+            names, wanted = batch.column(0).to_numpy(), batch.column(2)
+            for a, b in byte_groups(bounds):
+                tokens, own = tokenize(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
+                lists = wanted.slice(a, b - a)
+                row = np.repeat(np.arange(b - a), lists.value_lengths().to_numpy())
+                flat = lists.flatten()
+                start, count = own[row] + flat.field(0).to_numpy(), flat.field(1).to_numpy().astype(np.int64)
+                for starts, ends, rows in blocks_of(own, window):
+                    low, high = starts[0], ends[-1]
+                    # of a long row's blocks, which overlap, that in which the segment was found
+                    last = low + BLOCK_TOKENS if len(rows) == 1 and own[rows[0] + 1] - own[rows[0]] > BLOCK_TOKENS else high
+                    mine = np.flatnonzero((start >= low) & (start < last))
+                    if len(mine):
+                        which, begin, n, name, digest = pieces(tokens[low:high], start[mine] - low, count[mine], window, k, width)
+                        text = row[mine[which]]
+                        yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(names[a + text]), pa.array(begin + low - own[text]), pa.array(n.astype(np.int32))], names=["anchor", "digest", "doc", "at", "windows"])
+
+    return docs.join(per, "doc").select("doc", "text", "wanted").mapInArrow(run, "anchor long, digest long, doc long, at long, windows int")
+
+
+def pieces(tokens: np.ndarray, start: np.ndarray, count: np.ndarray, window: int, k: int, width: int) -> tuple[np.ndarray, ...]:
+    """For each piece of the segments (first window, number of windows): its segment, first window, number of windows, anchor
+    and the hash of its tokens."""
+    pows = powers(len(tokens))
+    sums = np.zeros(len(tokens) + 1, dtype=np.uint64)
+    np.cumsum((tokens + np.uint64(1)) * pows[0][: len(tokens)], out=sums[1:])
+    grams = mixed((sums[k:] - sums[: len(tokens) - k + 1]) * pows[1][: len(tokens) - k + 1])
+    place = np.arange(len(grams), dtype=np.uint64)
+    least = window_minima((grams & ~np.uint64(0xFFFFFF)) | place, window - k + 1) & np.uint64(0xFFFFFF)
+    anchor = least[start].astype(np.int64)
+    far, near = anchor - start, anchor - start - count + 1
+    times = far // width - near // width + 1
+    which = np.repeat(np.arange(len(start)), times)
+    step = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+    part = far[which] // width - step
+    most, fewest = np.minimum(far[which], part * width + width - 1), np.maximum(near[which], part * width)
+    begin, n = anchor[which] - most, most - fewest + 1
+    a, b = anchor[which] - part * width, anchor[which] - np.minimum(part * width + width - 1, window - k) + window
+    name = mixed((sums[b] - sums[a]) * pows[1][a] + (part + (width << 20)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    end = begin + n + window - 1
+    digest = mixed((sums[end] - sums[begin]) * pows[1][begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return which, begin, n, name, digest
+
+
+def bounded_segments(docs: DataFrame, repeated: DataFrame, tokenize: Callable, window: int, k: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """repeated, with finer segments where an anchor's different ones have more than `most` tokens, and its distinct segments."""
+    width = window - k + 1
+    settled, chosen = None, None
+    while True:
+        one = distinct_segments(repeated)
+        hot = keep(one.groupBy("anchor").agg(F.sum(F.col("windows") + window - 1).alias("n")).where(F.col("n") > most).select("anchor"), "anchors-hot")
+        done = width == 1 or hot.isEmpty()
+        # hot anchors are few: each has `most` tokens at least
+        rest, few = (repeated, one) if done else (t.join(F.broadcast(hot), "anchor", "left_anti") for t in (repeated, one))
+        settled, chosen = (rest, few) if settled is None else (settled.union(rest), chosen.union(few))
+        if done:
+            return settled, chosen
+        width = (width + 1) // 2
+        found = finer_segments(docs, repeated.join(F.broadcast(hot), "anchor", "left_semi"), tokenize, window, k, width)
+        found = keep(found, "segments-finer")
+        often = keep(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
+        repeated = keep(found.join(often, "anchor"), "segments")
+
+
 def distinct_segments(repeated: DataFrame) -> DataFrame:
     """(anchor, digest, copies, doc, at, windows, others): equal segments as one, of one of the documents that hold it; others:
     whether its anchor also has different segments."""

@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, powers, span_hashes, texts, word_spans
-from .repeats import distinct_segments, merged, repeated_segments, spans_by_document
+from .repeats import bounded_segments, merged, repeated_segments, spans_by_document
 
 WINDOW, ANCHOR = 35, 8
-#: A shard's segments are indexed in groups of about so many words; those of one anchor stay together.
+#: A shard's segments are indexed in groups of about so many words; those of one anchor
+#: stay together, and are cut finer beyond so many.
 INDEX_WORDS = 400_000
 
 
@@ -185,11 +186,12 @@ def cut_parts(docs: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
     return docs.join(per, "doc").select("text", "wanted").mapInArrow(run, "anchor long, digest long, copies long, words string")
 
 
-def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(key, n_words, n_removed, kept): kept has the words that stay, joined by single spaces."""
+def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, most: int = INDEX_WORDS) -> DataFrame:
+    """(key, n_words, n_removed, kept): kept has the words that stay, joined by single spaces. most: the words of an anchor's
+    different segments, beyond which they are cut finer."""
     named = docs.select(F.col(key), F.col(text).alias("text"), F.xxhash64(key, text).alias("doc"))
     repeated = repeated_segments(named, word_values, window, anchor)
-    chosen = distinct_segments(repeated)
+    repeated, chosen = bounded_segments(named, repeated, word_values, window, anchor, most)
     # rows repeated in full give a segment twice; all its windows repeat anyway
     found = search_shards(cut_parts(named, chosen, window), window)
     spans = spans_by_document(repeated, found, window)

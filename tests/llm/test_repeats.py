@@ -1,10 +1,12 @@
 """Repeated words and bytes against plain counting of all windows."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabulon.llm import byterepeats, repeats, wordrepeats
 
@@ -64,3 +66,34 @@ def test_odd_rows(odd_docs, no_docs):
     data = byterepeats.remove_repeats(odd_docs).collect()
     assert [r["n_removed"] for r in data if r["doc_id"] == 4] == [60000] and [r["n_bytes"] for r in data if r["doc_id"] is None] == [0]
     assert wordrepeats.remove_repeats(no_docs).count() == 0 and byterepeats.remove_repeats(no_docs).count() == 0
+
+
+def notices(window):
+    """Texts that share a passage shorter than a window, and some of them a longer one, among different words."""
+    rng = random.Random(7)
+    word = lambda: f"u{rng.randrange(10**9)}"
+    passage = [word() for _ in range(window - 1)]
+    more = [word() for _ in range(window)]
+    out = []
+    for i in range(60):
+        before, after = [word() for _ in range(window + i % 3)], [word() for _ in range(window)]
+        if i % 10 == 0:
+            before[-3:], after[:4] = more[:3], more[3:7]
+        out.append((i, " ".join([*before, *passage, *after])))
+    return [*out, out[5]]
+
+
+@pytest.mark.parametrize(("window", "k"), [(35, 8), (12, 4)])
+def test_hot_anchor_of_words_is_cut(spark, window, k):
+    data = notices(window)
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    named = docs.selectExpr("text", "xxhash64(doc_id, text) AS doc")
+    found = repeats.repeated_segments(named, wordrepeats.word_values, window, k)
+    _, chosen = repeats.bounded_segments(named, found, wordrepeats.word_values, window, k, 300)
+    sizes = {r["anchor"]: r["n"] for r in chosen.groupBy("anchor").agg(F.sum(F.col("windows") + window - 1).alias("n")).collect()}
+    assert max(sizes.values()) <= 300
+    got = {r["doc_id"]: r for r in wordrepeats.remove_repeats(docs, window=window, anchor=k, most=300).collect()}
+    tokens = {(j, i): t.split() for j, (i, t) in enumerate(data)}
+    for (_, i), gone in plain(tokens, window).items():
+        kept = " ".join(w for w, g in zip(dict(data)[i].split(), gone, strict=True) if not g)
+        assert (got[i]["n_removed"], got[i]["kept"]) == (sum(gone), kept)
