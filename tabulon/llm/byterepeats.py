@@ -6,7 +6,8 @@ by the length of the prefix that it shares with the one before and the place of
 and a loser tree merges those of a shard. Its players carry the prefix length that they share with the last winner, and
 bytes are compared only beyond it; a winner that shares a whole window with the last one is a repeat, and so is that one.
 
-Segments that stand more than once repeat as a whole; they meet the others in the merge as one.
+Segments that stand more than once repeat as a whole; they meet the others in the merge as one. The different segments of
+one anchor are few (see repeats), and there are so many shards that each has a bounded share of the suffixes.
 
 Defined results: a null or blank text is empty; a passage cut inside a character leaves its other bytes as they are, so what
 is kept is binary; repeated rows are repeated texts; an empty table gives none; other columns are ignored.
@@ -23,12 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, texts
-from .repeats import distinct_segments, merged, repeated_segments, spans_by_document
+from .repeats import bounded_segments, merged, repeated_segments, spans_by_document
 from .wordrepeats import ranges
 
 WINDOW, ANCHOR = 400, 32
 #: A task writes its runs whenever it holds so many suffixes.
 RUN_SUFFIXES = 400_000
+#: A shard has about so many suffixes at most, and an anchor's different segments so many bytes.
+SHARD_SUFFIXES, ANCHOR_BYTES = 1_000_000, 800_000
 
 
 def byte_values(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,6 +121,10 @@ def merge(runs: list[tuple[bytes, list[int], list[int]]], window: int) -> list[n
     return found
 
 
+def shard_count(suffixes: int, partitions: int) -> int:
+    return max(2 * partitions, -(-suffixes // SHARD_SUFFIXES))
+
+
 def front_coded_runs(docs: DataFrame, chosen: DataFrame, window: int, shards: int) -> DataFrame:
     """(shard, segments, text, places, prefixes): the sorted runs of each task for each shard. segments: anchors, digests
     and lengths, 64-bit integers."""
@@ -178,13 +185,15 @@ def merged_shards(runs: DataFrame, window: int) -> DataFrame:
     return runs.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(run, "anchor long, digest long, first long, last long")
 
 
-def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept): kept has the bytes that stay."""
+def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, most: int = ANCHOR_BYTES) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept): kept has the bytes that stay. most: the bytes of an anchor's different segments,
+    beyond which they are cut finer."""
     named = docs.select(F.col(key), F.col(text).alias("text"), F.xxhash64(key, text).alias("doc"))
     repeated = repeated_segments(named, byte_values, window, anchor, wide=True)
-    chosen = distinct_segments(repeated)
+    repeated, chosen = bounded_segments(named, repeated, byte_values, window, anchor, most)
     whole = chosen.where("copies > 1").select("anchor", "digest", F.lit(0).cast("long").alias("first"), (F.col("windows") - 1).cast("long").alias("last"))
-    shards = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    suffixes = chosen.where("others").agg(F.sum("windows")).first()[0] or 0
+    shards = shard_count(suffixes, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = merged_shards(front_coded_runs(named, chosen.where("others"), window, shards), window)
     spans = spans_by_document(repeated, whole.union(found), window)
 

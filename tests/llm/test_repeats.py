@@ -97,3 +97,21 @@ def test_hot_anchor_of_words_is_cut(spark, window, k):
     for (_, i), gone in plain(tokens, window).items():
         kept = " ".join(w for w, g in zip(dict(data)[i].split(), gone, strict=True) if not g)
         assert (got[i]["n_removed"], got[i]["kept"]) == (sum(gone), kept)
+
+
+@pytest.mark.parametrize(("window", "k"), [(400, 32), (60, 16)])
+def test_hot_anchor_of_bytes_is_cut(spark, window, k):
+    data = notices(window // 10)
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    named = docs.selectExpr("text", "xxhash64(doc_id, text) AS doc")
+    found = repeats.repeated_segments(named, byterepeats.byte_values, window, k, wide=True)
+    _, chosen = repeats.bounded_segments(named, found, byterepeats.byte_values, window, k, 3000)
+    assert max(r["n"] for r in chosen.groupBy("anchor").agg(F.sum(F.col("windows") + window - 1).alias("n")).collect()) <= 3000
+    got = {r["doc_id"]: r for r in byterepeats.remove_repeats(docs, window=window, anchor=k, most=3000).collect()}
+    for (_, i), gone in plain({(j, i): t.encode() for j, (i, t) in enumerate(data)}, window).items():
+        kept = bytes(b for b, g in zip(dict(data)[i].encode(), gone, strict=True) if not g)
+        assert (got[i]["n_removed"], bytes(got[i]["kept"])) == (sum(gone), kept)
+
+
+def test_shards_have_a_bounded_share():
+    assert byterepeats.shard_count(0, 4) == 8 and byterepeats.shard_count(10**9 + 1, 4) == 1001
