@@ -1,4 +1,8 @@
-"""Table shapes that the operators share: melting, global row numbers, cumulative distributions."""
+"""Table shapes that the operators share: melting, global row numbers, running sums, cumulative distributions, quantiles.
+
+Whatever needs an order is cut into ranges of that order, as many as there are shuffle partitions, and written. A range is a
+task of its own; what lies before it comes from the ranges' sums, of which there are few. So no task holds a whole column,
+class or client, however large that is."""
 
 from __future__ import annotations
 
@@ -7,11 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
 from .exprs import number
 
-#: Rows that one task of a global order sorts.
-SLICE = 200_000
-
 
 def melt(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = (), convert=number) -> DataFrame:
     """One row for each value of the columns: (*ids, column, value). One job then serves all columns."""
@@ -20,26 +22,34 @@ def melt(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = (), convert=nu
     return wide.select(*ids, F.explode(parts).alias("m")).select(*ids, "m.column", "m.value")
 
 
-def row_index(df: DataFrame, order: Sequence[Column], first: Column, keys: Sequence[str] = (), name: str = "idx", slices: int | None = None) -> DataFrame:
-    """A 0-based row number in a total order, within keys or over the whole table, without putting all rows in one task.
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """df with __part, written: ranges of (keys, order), each in its own task. Rows that are equal in these are in one range."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return kept(df.repartitionByRange(n, *keys, *order).withColumn("__part", F.spark_partition_id()), "ranges")
 
-    first: the leading part of the order as a double. Its approximate quantiles cut the rows into slices; slices are counted,
-    and each slice is numbered by itself on top of the counts before it. Ties at a cut stay in one slice."""
-    if slices is None:
-        slices = max(1, -(-df.count() // SLICE))
-    keys = list(keys)
-    if slices == 1 and keys:
-        return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
-    marks = [i / slices for i in range(1, slices)]
-    cuts = df.agg(F.percentile_approx(first, marks, 10000).alias("c")).first()["c"] if marks else []
-    cut = F.array(*[F.lit(float(c)) for c in sorted(set(cuts or []))]) if cuts else F.array().cast("array<double>")
-    sliced = df.withColumn("__slice", F.size(F.filter(cut, lambda c: c < first)))
-    at = [*keys, "__slice"]
-    counts = sliced.groupBy(*at).agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*at, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    numbered = sliced.withColumn("__rn", F.row_number().over(Window.partitionBy(*at).orderBy(*order)) - 1)
-    return numbered.join(offsets, at).withColumn(name, (F.col("__before") + F.col("__rn")).cast("long")).drop("__slice", "__before", "__rn", *([] if keys else []))
+
+def running_sums(df: DataFrame, sums: Sequence[str], keys: Sequence[str], order: Sequence[str], following: bool = False) -> DataFrame:
+    """df with, for each of `sums`, c_before and c_all: its sum over the rows before, in the order, and over all rows, within keys.
+    following: also next, the first of the order columns in the row after. Rows with a null key are left out."""
+    keys, first = list(keys), order[0]
+    rows = in_ranges(df, keys, order)
+    at = [*keys, "__part"]
+    parts = rows.groupBy(*at).agg(*[F.sum(c).alias(f"__{c}") for c in sums], F.min(first).alias("__first"))
+    ahead = Window.partitionBy(*keys).orderBy("__part")  # at most one row a range and key
+    before, all_ = ahead.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    parts = parts.select(*at, F.lead("__first").over(ahead).alias("__next"), *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}_before") for c in sums], *[F.sum(f"__{c}").over(all_).alias(f"{c}_all") for c in sums])
+    inside = Window.partitionBy(*at).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, -1)
+    out = {f"__{c}_here": F.coalesce(F.sum(c).over(upto), F.lit(0)) for c in sums} | ({"__after": F.lead(first).over(inside)} if following else {})
+    joined = rows.withColumns(out).join(parts, at)
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *[(F.col(f"__{c}_before") + F.col(f"__{c}_here")).alias(f"{c}_before") for c in sums], *[f"{c}_all" for c in sums], *([F.coalesce("__after", "__next").alias("next")] if following else []))
+
+
+def row_index(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (), name: str = "idx") -> DataFrame:
+    """A 0-based row number in a total order, within keys or over the whole table."""
+    places = {f"__o{i}": c for i, c in enumerate(order)}
+    numbered = running_sums(df.withColumns(places | {"__one": F.lit(1).cast("long")}), ["__one"], keys, list(places))
+    return numbered.withColumnRenamed("__one_before", name).drop("__one", "__one_all", *places)
 
 
 def cdf(real: DataFrame, syn: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -49,8 +59,21 @@ def cdf(real: DataFrame, syn: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
     both = real.select(*keys, "value", F.lit(1).alias("r"), F.lit(0).alias("s")).unionByName(syn.select(*keys, "value", F.lit(0).alias("r"), F.lit(1).alias("s")))
     counts = both.where("value IS NOT NULL").groupBy(*keys, "value").agg(F.sum("r").alias("r"), F.sum("s").alias("s"))
-    upto = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy(*keys)
-    return counts.select(
-        *keys, "value", F.try_divide(F.sum("r").over(upto), F.sum("r").over(every)).alias("f_real"), F.try_divide(F.sum("s").over(upto), F.sum("s").over(every)).alias("f_syn"), F.lead("value").over(Window.partitionBy(*keys).orderBy("value")).alias("next")
-    )
+    ordered = running_sums(counts, ["r", "s"], keys, ["value"], following=True)
+    share = lambda c: F.try_divide(F.col(c) + F.col(f"{c}_before"), F.col(f"{c}_all"))
+    return ordered.select(*keys, "value", share("r").alias("f_real"), share("s").alias("f_syn"), "next")
+
+
+def quantiles(long: DataFrame, keys: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """(*keys, quantiles): exact quantiles of (*keys, value), between two values in proportion; only distinct values are put in
+    order."""
+    counts = long.where("value IS NOT NULL").groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    rows = running_sums(counts, ["n"], keys, ["value"])
+    found = []
+    for share in shares:
+        place = F.lit(float(share)) * (F.col("n_all") - 1)
+        at = lambda k: F.max(F.when((F.col("n_before") <= k) & (k < F.col("n_before") + F.col("n")), F.col("value")))
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        rest = F.max(place - F.floor(place))
+        found.append(low + (high - low) * rest)
+    return rows.groupBy(*keys).agg(F.array(*found).alias("quantiles"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import prefixed
-from ..functions.tables import melt
+from ..functions.tables import in_ranges, melt, quantiles, row_index, running_sums
+from ..sources.scratch import kept
 
 
 def minmax(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -30,7 +31,7 @@ def unscale(c: Column, low: float, high: float) -> Column:
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """(value, code): distinct values as text, in order, from 0."""
     values = df.select(F.col(f"`{column}`").cast("string").alias("value")).where("value IS NOT NULL").distinct()
-    return values.withColumn("code", F.row_number().over(Window.orderBy("value")) - 1)
+    return row_index(values, [F.col("value")], name="code").withColumn("code", F.col("code").cast("int"))
 
 
 def unit_code(code: Column, n: int) -> Column:
@@ -45,18 +46,43 @@ def code_of_unit(u: Column, n: int) -> Column:
 def shared_vocabulary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(value, code): one code for each prefixed category of all columns."""
     values = df.select(F.explode(F.array(*[prefixed(c) for c in cols])).alias("value")).distinct()
-    return values.withColumn("code", F.row_number().over(Window.orderBy("value")) - 1)
+    return row_index(values, [F.col("value")], name="code").withColumn("code", F.col("code").cast("int"))
 
 
 def quantile_uniform(df: DataFrame, column: str) -> DataFrame:
     """df with u: the middle rank of a value among all, as a share. Distinct values are counted, and only these are in order."""
     counts = df.groupBy(F.col(f"`{column}`").alias("v")).agg(F.count("*").alias("n")).where("v IS NOT NULL")
-    before = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    ranks = counts.select("v", F.try_divide(F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") - 1) / 2.0, F.sum("n").over(whole) - 1.0).alias("u"))
+    ranks = running_sums(counts, ["n"], [], ["v"]).select("v", F.try_divide(F.col("n_before") + (F.col("n") - 1) / 2.0, F.col("n_all") - 1.0).alias("u"))
     return df.join(ranks, F.col(f"`{column}`") == F.col("v"), "left").drop("v")
 
 
+def uniform_quantile(df: DataFrame, ranked: DataFrame, u: str, column: str, name: str = "value") -> DataFrame:
+    """The inverse of quantile_uniform: df with the value whose share is that of column u, between two shares in proportion;
+    beyond the ends the least or the greatest value. ranked: what quantile_uniform gave for the fitted table, with (column, u)."""
+    known = ranked.where(f"`{u}` IS NOT NULL").groupBy(F.col(f"`{column}`").cast("double").alias("__v")).agg(F.min(u).alias("__u"))
+    asked = df.withColumn("__row", F.monotonically_increasing_id())
+    asked = kept(asked, "asked")
+    points = known.select("__u", "__v", F.lit(None).cast("long").alias("__row")).union(asked.select(F.col(f"`{u}`").cast("double"), F.lit(None).cast("double"), "__row"))
+    rows = in_ranges(points.where("__u IS NOT NULL").withColumn("__own", F.when(F.col("__v").isNotNull(), F.struct("__u", "__v"))), [], ["__u"])
+    ends = rows.groupBy("__part").agg(F.max("__own").alias("__low"), F.min("__own").alias("__high"))
+    parts = Window.orderBy("__part")  # a row a range
+    ends = ends.select("__part", F.max("__low").over(parts.rowsBetween(Window.unboundedPreceding, -1)).alias("__low"), F.min("__high").over(parts.rowsBetween(1, Window.unboundedFollowing)).alias("__high"))
+    own = Window.partitionBy("__part").orderBy("__u")
+    low = F.max("__own").over(own.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    high = F.min("__own").over(own.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    found = rows.withColumns({"__a": low, "__b": high}).where("__row IS NOT NULL").join(ends, "__part")
+    a, b = F.coalesce("__a", "__low", "__b", "__high"), F.coalesce("__b", "__high", "__a", "__low")
+    share = F.when(b["__u"] > a["__u"], (F.col("__u") - a["__u"]) / (b["__u"] - a["__u"])).otherwise(0.0)
+    value = a["__v"] + (b["__v"] - a["__v"]) * share
+    return asked.join(found.select("__row", value.alias(name)), "__row", "left").drop("__row")
+
+
+@F.pandas_udf(T.DoubleType())
+def normal_share(z: pd.Series) -> pd.Series:
+    """The share below a normal number: what takes probit back."""
+    return z.map(NormalDist().cdf, na_action="ignore")
+
+
 @F.pandas_udf(T.DoubleType())
 def probit(u: pd.Series) -> pd.Series:
     """The normal quantile of a share, clipped off the ends."""
@@ -85,7 +111,7 @@ def mode_denormalized(value: Column, scores: Column, modes: Column) -> Column:
 def category_order(df: DataFrame, column: str) -> DataFrame:
     """(value, place): categories by falling count, ties by value, from 0."""
     counts = df.groupBy(F.col(f"`{column}`").cast("string").alias("value")).agg(F.count("*").alias("n"))
-    return counts.select("value", (F.row_number().over(Window.orderBy(F.col("n").desc(), "value")) - 1).alias("place"))
+    return row_index(counts, [-F.col("n"), F.col("value")], name="place").select("value", F.col("place").cast("int").alias("place"))
 
 
 def one_hot(place: Column, n: int) -> Column:
@@ -96,7 +122,7 @@ def nearest_code(vocabulary: DataFrame, rows: DataFrame) -> DataFrame:
     """rows: (id, column, value). Each value gets the code of its own column next to it: (id, column, code, value)."""
     codes = vocabulary.groupBy("column").agg(F.array_sort(F.collect_list("code")).alias("codes"))
     near = F.array_min(F.transform("codes", lambda c: F.struct(F.abs(c - F.col("value")).alias("d"), c.alias("code"))))
-    return rows.join(F.broadcast(codes), "column").select("id", "column", "value", near["code"].alias("code"))
+    return rows.join(codes, "column").select("id", "column", "value", near["code"].alias("code"))
 
 
 def mixture_start(df: DataFrame, cols: Sequence[str], modes: int) -> DataFrame:
@@ -104,7 +130,8 @@ def mixture_start(df: DataFrame, cols: Sequence[str], modes: int) -> DataFrame:
     from ..functions.exprs import number
 
     shares = [(i + 0.5) / modes for i in range(modes)]
-    got = melt(df, cols, convert=number).where("value IS NOT NULL").groupBy("column").agg(F.percentile("value", F.array(*map(F.lit, shares))).alias("q"), F.stddev_pop("value").alias("s"))
+    long = melt(df, cols, convert=number).where("value IS NOT NULL")
+    got = quantiles(long, ["column"], shares).withColumnRenamed("quantiles", "q").join(long.groupBy("column").agg(F.stddev_pop("value").alias("s")), "column")
     return got.select("column", F.posexplode("q").alias("mode", "mean"), F.greatest("s", F.lit(1e-6)).alias("s")).select("column", "mode", F.lit(1.0 / modes).alias("weight"), "mean", (F.col("s") / modes + 1e-6).alias("std"))
 
 

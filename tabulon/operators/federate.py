@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import category, number
-from ..functions.tables import cdf, melt
+from ..functions.tables import cdf, melt, row_index
 
 
 def weighted_params(params: DataFrame, weights: DataFrame) -> DataFrame:
     """(param, pos, value): mean over clients. params: (client_id, param, pos, value); weights: (client_id, weight), one row a
     client. Raises where the weights don't add up to more than nothing."""
-    got = params.join(F.broadcast(weights), "client_id").groupBy("param", "pos").agg(F.sum(F.col("value") * F.col("weight")).alias("total"), F.sum("weight").alias("weights"))
+    got = params.join(weights, "client_id").groupBy("param", "pos").agg(F.sum(F.col("value") * F.col("weight")).alias("total"), F.sum("weight").alias("weights"))
     bad = F.raise_error("the clients' weights add up to nothing").cast("double")
     return got.select("param", "pos", F.when(F.col("weights") > 0, F.col("total") / F.col("weights")).otherwise(bad).alias("value"))
 
@@ -33,13 +34,14 @@ def client_profiles(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def js_distance(profiles: DataFrame, counts: DataFrame) -> DataFrame:
     """(client_id, column, distance): root of the Jensen-Shannon divergence of a client's shares from the mean of all clients,
     weighted by their rows."""
-    clients = counts.select("client_id", F.col("n").alias("rows"))
-    cells = profiles.select("column", "category").distinct().crossJoin(F.broadcast(clients))  # categories times clients: the dense table of the method
-    dense = cells.join(profiles.select("client_id", "column", "category", "share"), ["client_id", "column", "category"], "left").withColumn("p", F.coalesce("share", F.lit(0.0)))
-    q = dense.groupBy("column", "category").agg((F.sum(F.col("p") * F.col("rows")) / F.sum("rows")).alias("q"))
-    both = dense.join(q, ["column", "category"]).withColumn("m", (F.col("p") + F.col("q")) / 2)
-    part = lambda x: F.when(F.col(x) > 0, F.col(x) * F.ln(F.col(x) / F.col("m"))).otherwise(0.0)
-    return both.groupBy("client_id", "column").agg(F.sqrt(F.greatest(F.lit(0.0), (F.sum(part("p")) + F.sum(part("q"))) / 2)).alias("distance"))
+    # categories that a client lacks add what the mean has there, times ln 2; their sum follows from the shares it has
+    have = profiles.select("client_id", "column", "category", F.col("share").alias("p")).join(counts.select("client_id", F.col("n").alias("rows")), "client_id")
+    total = counts.agg(F.sum("n").alias("all"))
+    q = have.groupBy("column", "category").agg(F.sum(F.col("p") * F.col("rows")).alias("q")).crossJoin(F.broadcast(total)).select("column", "category", (F.col("q") / F.col("all")).alias("q"))
+    both = have.join(q, ["column", "category"]).withColumn("m", (F.col("p") + F.col("q")) / 2)
+    part = lambda x: F.sum(F.when(F.col(x) > 0, F.col(x) * F.ln(F.col(x) / F.col("m"))).otherwise(0.0))
+    lacks = (1 - F.sum("q")) * F.lit(math.log(2))
+    return both.groupBy("client_id", "column").agg(F.sqrt(F.greatest(F.lit(0.0), (part("p") + part("q") + lacks) / 2)).alias("distance"))
 
 
 def client_wasserstein(df: DataFrame, cols: Sequence[str], key: str) -> DataFrame:
@@ -47,7 +49,7 @@ def client_wasserstein(df: DataFrame, cols: Sequence[str], key: str) -> DataFram
     client the first floor(rows * share of all rows) rows in the order of the key."""
     counts = df.groupBy("client_id").agg(F.count("*").alias("n"))
     total = counts.withColumn("take", F.floor(F.col("n") * F.col("n") / F.sum("n").over(Window.partitionBy())).cast("long"))
-    first = df.withColumn("rn", F.row_number().over(Window.partitionBy("client_id").orderBy(key))).join(F.broadcast(total), "client_id").where(F.col("rn") <= F.col("take"))
+    first = row_index(df, [F.col(key)], ["client_id"], "rn").join(total, "client_id").where(F.col("rn") < F.col("take"))
     long = melt(df, cols, ["client_id"], convert=number)
     pooled = melt(first, cols, convert=number).join(F.broadcast(counts.select("client_id")))
     both = cdf(long, pooled.select("client_id", "column", "value"), ["client_id", "column"])

@@ -15,9 +15,12 @@ from ..functions.tables import cdf, melt
 from .clean import non_constant, sanitize_numeric
 
 
-def moments(melted: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """(*keys, column, n, mean, m2): count, mean and sum of squared deviations."""
-    return melted.groupBy(*keys, "column").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), (F.var_pop("value") * F.count("value")).alias("m2"))
+def moments(melted: DataFrame, keys: Sequence[str] = (), whole_too: bool = False) -> DataFrame:
+    """(*keys, column, n, mean, m2): count, mean and sum of squared deviations. whole_too: also over all keys, which are null there,
+    in the same pass."""
+    by = [*keys, "column"]
+    groups = melted.groupingSets([[F.col(c) for c in by], [F.col("column")]], *by) if whole_too else melted.groupBy(*by)
+    return groups.agg(F.count("value").alias("n"), F.avg("value").alias("mean"), (F.var_pop("value") * F.count("value")).alias("m2"))
 
 
 def merge_moments(partial: DataFrame) -> DataFrame:

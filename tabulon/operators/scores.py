@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import running_sums
+
 #: A group with fewer rows has no rates.
 LEAST_GROUP = 30
 
@@ -16,9 +18,8 @@ def roc_auc(scored: DataFrame, keys: Sequence[str] = (), score: str = "score", l
     are counted first, and only distinct scores are put in order."""
     keys = list(keys)
     by = scored.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    before = Window.partitionBy(*keys).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    pairs = F.sum(F.col("p") * (F.col("below") + F.col("n") * 0.5))
+    ranked = running_sums(by, ["n"], keys, ["s"])
+    pairs = F.sum(F.col("p") * (F.col("n_before") + F.col("n") * 0.5))
     return ranked.groupBy(*keys).agg(F.try_divide(pairs, F.sum("p").cast("double") * F.sum("n")).alias("auc"))
 
 

@@ -17,12 +17,12 @@ def holdout_split(df: DataFrame, key: str, share: float, seed: int) -> DataFrame
     """split: 'holdout' for exactly ceil(share * n) rows by their hash, else 'train'."""
     n = df.count()
     u = hash_u01(seed, F.col(key))
-    return row_index(df.withColumn("u", u), [F.col("u"), F.col(key)], F.col("u")).withColumn("split", F.when(F.col("idx") < math.ceil(share * n), "holdout").otherwise("train")).drop("u", "idx")
+    return row_index(df.withColumn("u", u), [F.col("u"), F.col(key)]).withColumn("split", F.when(F.col("idx") < math.ceil(share * n), "holdout").otherwise("train")).drop("u", "idx")
 
 
 def client_split(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
     """split: 'test' for ceil(share * n) rows of each client, else 'train'."""
-    numbered = row_index(df.withColumn("u", hash_u01(seed, F.col(key))), [F.col("u"), F.col(key)], F.col("u"), ["client_id"])
+    numbered = row_index(df.withColumn("u", hash_u01(seed, F.col(key))), [F.col("u"), F.col(key)], ["client_id"])
     counts = df.groupBy("client_id").agg(F.count("*").alias("n"))
     return numbered.join(counts, "client_id").withColumn("split", F.when(F.col("idx") < F.ceil(F.lit(share) * F.col("n")), "test").otherwise("train")).drop("u", "idx", "n")
 
@@ -68,7 +68,7 @@ def balanced_resample(df: DataFrame, key: str, cols: Sequence[str], n: int, seed
     pick = F.element_at("t", F.least(F.size(F.filter("t", lambda x: x["c"] <= F.col("u2"))) + 1, F.size("t")))
     slots = slots.select("slot", "column", "u3", pick.alias("p")).select("slot", "column", "p.category", F.floor(F.col("u3") * F.col("p.n")).cast("long").alias("number"))
     rows = melt(df, cols, [key], convert=category).withColumnRenamed("value", "category").withColumn("h", hash_u01(seed + 3, F.col(key)))
-    numbered = row_index(rows, [F.col("h"), F.col(key)], F.col("h"), ["column", "category"], "number")
+    numbered = row_index(rows, [F.col("h"), F.col(key)], ["column", "category"], "number")
     return slots.join(numbered.select("column", "category", "number", key), ["column", "category", "number"]).select("slot", "column", "category", key)
 
 
@@ -77,7 +77,7 @@ def balanced_resample(df: DataFrame, key: str, cols: Sequence[str], n: int, seed
 
 def _hashed(df: DataFrame, key: str, seed: int) -> DataFrame:
     u = hash_u01(seed, F.col(key))
-    return row_index(df.withColumn("__u", u), [F.col("__u"), F.col(key)], F.col("__u")).drop("__u")
+    return row_index(df.withColumn("__u", u), [F.col("__u"), F.col(key)]).drop("__u")
 
 
 def _by_bounds(idx: Column, bounds: Sequence[int]) -> Column:
@@ -121,53 +121,96 @@ def part_exponential(df, clients, key, seed):
 
 def part_proportions(df: DataFrame, label: str, key: str, seed: int, proportions: dict[str, Sequence[float]]) -> DataFrame:
     """Rows of each class dealt in blocks by that class's proportions over the clients."""
-    numbered = row_index(df.withColumn("__u", hash_u01(seed, F.col(key))), [F.col("__u"), F.col(key)], F.col("__u"), [label])
+    numbered = row_index(df.withColumn("__u", hash_u01(seed, F.col(key))), [F.col("__u"), F.col(key)], [label])
     counts = df.groupBy(label).agg(F.count("*").alias("__n"))
     spark = df.sparkSession
     cut = spark.createDataFrame([(k, np.cumsum(np.array(p) / sum(p))[:-1].tolist()) for k, p in proportions.items()], "__class string, __cut array<double>")
-    rows = numbered.join(F.broadcast(counts), label).join(F.broadcast(cut), F.col(label).cast("string") == F.col("__class"))
+    rows = numbered.join(counts, label).join(cut, F.col(label).cast("string") == F.col("__class"))
     return rows.withColumn("client_id", F.size(F.filter("__cut", lambda c: F.floor(c * F.col("__n")) <= F.col("idx"))).cast("int")).drop("idx", "__n", "__cut", "__class", "__u")
 
 
-def part_dirichlet(df: DataFrame, clients: int, label: str, key: str, seed: int, alpha: float = 0.5, least: int = 10, tries: int = 20) -> DataFrame:
+def dirichlet_shares(counts: dict[str, int], clients: int, alpha: float, seed: int, self_balancing: bool = False) -> dict[str, list[float]]:
+    """Each class's proportions over the clients. self_balancing: a client that has its even share of all rows already gets
+    nothing of the classes that follow."""
+    rng = np.random.default_rng(seed)
+    even, have, out = sum(counts.values()) / clients, np.zeros(clients), {}
+    for c in sorted(counts):
+        share = rng.dirichlet([alpha] * clients)
+        if self_balancing and (share * (have < even)).sum() > 0:
+            share = share * (have < even)
+            share = share / share.sum()
+        have += np.floor(share * counts[c])
+        out[c] = share.tolist()
+    return out
+
+
+def part_dirichlet(df: DataFrame, clients: int, label: str, key: str, seed: int, alpha: float = 0.5, least: int = 10, tries: int = 20, self_balancing: bool = False) -> DataFrame:
     """Label skew: each class's proportions come from a Dirichlet distribution; drawn anew until no client has fewer rows than
     `least`. Only one number a class comes to the driver."""
-    classes = sorted(str(r[0]) for r in df.select(label).distinct().collect())
+    counts = {str(r[0]): r[1] for r in df.groupBy(label).agg(F.count("*")).collect()}
     for t in range(tries):
-        rng = np.random.default_rng(seed + t)
-        drawn = {c: rng.dirichlet([alpha] * clients).tolist() for c in classes}
-        out = part_proportions(df, label, key, seed, drawn)
+        out = part_proportions(df, label, key, seed, dirichlet_shares(counts, clients, alpha, seed + t, self_balancing))
         sizes = [r["count"] for r in out.groupBy("client_id").count().collect()]
         if len(sizes) == clients and min(sizes) >= least:
             return out
     raise ValueError(f"no draw gave every client {least} rows")
 
 
-def part_pathological(df: DataFrame, clients: int, label: str, key: str, seed: int, classes_each: int = 2) -> DataFrame:
-    """Each client owns `classes_each` classes, in turn; a class's rows are dealt to its owners in equal blocks."""
-    classes = sorted(str(r[0]) for r in df.select(label).distinct().collect())
+#: How classes come to their owners.
+MODES = ("deterministic", "random", "first-deterministic")
+
+
+def class_owners(classes: Sequence[str], clients: int, each: int, mode: str = "deterministic", seed: int = 0) -> dict[str, list[int]]:
+    """The clients of each class: in turn; by chance; or the first class of each client in turn and its others by chance."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}")
+    rng, n = np.random.default_rng(seed), len(classes)
     owners: dict[str, list[int]] = {c: [] for c in classes}
     for i in range(clients):
-        for j in range(min(classes_each, len(classes))):
-            owners[classes[(i * classes_each + j) % len(classes)]].append(i)
-    numbered = row_index(df.withColumn("__u", hash_u01(seed, F.col(key))), [F.col("__u"), F.col(key)], F.col("__u"), [label])
+        if mode == "deterministic":
+            mine = [(i * each + j) % n for j in range(min(each, n))]
+        else:
+            fixed = [i % n] if mode == "first-deterministic" else []
+            others = [j for j in range(n) if j not in fixed]
+            mine = fixed + rng.permutation(others)[: min(each, n) - len(fixed)].tolist()
+        for j in mine:
+            owners[classes[j]].append(i)
+    return owners
+
+
+def part_pathological(df: DataFrame, clients: int, label: str, key: str, seed: int, classes_each: int = 2, mode: str = "deterministic") -> DataFrame:
+    """Each client owns `classes_each` classes; a class's rows are dealt to its owners in equal blocks, and a class that nobody
+    owns is left out."""
+    owners = class_owners(sorted(str(r[0]) for r in df.select(label).distinct().collect()), clients, classes_each, mode, seed)
+    numbered = row_index(df.withColumn("__u", hash_u01(seed, F.col(key))), [F.col("__u"), F.col(key)], [label])
     counts = df.groupBy(label).agg(F.count("*").alias("__n"))
     table = df.sparkSession.createDataFrame([(c, o) for c, o in owners.items() if o], "__class string, __owners array<int>")
-    rows = numbered.join(F.broadcast(counts), label).join(F.broadcast(table), F.col(label).cast("string") == F.col("__class"))
+    rows = numbered.join(counts, label).join(table, F.col(label).cast("string") == F.col("__class"))
     turn = F.floor(F.col("idx") * F.size("__owners") / F.col("__n")).cast("int")
     return rows.withColumn("client_id", F.element_at("__owners", turn + 1)).drop("idx", "__n", "__owners", "__class", "__u")
 
 
-def part_shard(df: DataFrame, clients: int, label: str, key: str, seed: int, shards_each: int = 2) -> DataFrame:
-    """Rows sorted by label and cut into shards of one size; each client gets `shards_each` of them, by hash."""
-    n, total = df.count(), clients * shards_each
-    size = max(1, math.ceil(n / total))
+def part_shard(df: DataFrame, clients: int, label: str, key: str, seed: int, shards_each: int | None = 2, shard_size: int | None = None, keep_incomplete: bool = False) -> DataFrame:
+    """Rows sorted by label and cut into shards of one size, which are dealt by hash: `shards_each` to each client, of a size
+    that uses all rows unless shard_size is given; with shards_each=None all shards of shard_size in turn. The last shard, if it
+    is smaller than shard_size, is left out unless keep_incomplete; rows of shards that nobody gets are left out."""
+    n = df.count()
+    if shard_size is None:
+        if shards_each is None:
+            raise ValueError("give shards_each or shard_size")
+        total, size = clients * shards_each, max(1, math.ceil(n / (clients * shards_each)))
+    else:
+        size, total = shard_size, math.ceil(n / shard_size) if keep_incomplete else n // shard_size
+        if shards_each is not None and total < clients * shards_each:
+            raise ValueError(f"{total} shards are too few for {clients} clients")
+    dealt = total if shards_each is None else clients * shards_each
     # classes are few: the place of a class comes from their counts, the place within it from the row number
-    numbered = row_index(df, [F.col(key)], F.col(key).cast("double"), [label])
+    numbered = row_index(df, [F.col(key)], [label])
     before = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
     offsets = df.groupBy(label).agg(F.count("*").alias("__n")).select(label, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    rows = numbered.join(F.broadcast(offsets), label).withColumn("__shard", F.floor((F.col("__before") + F.col("idx")) / size).cast("long"))
+    rows = numbered.join(offsets, label).withColumn("__shard", F.floor((F.col("__before") + F.col("idx")) / size).cast("long"))
     deal = df.sparkSession.range(total).select(F.col("id").alias("__shard"), (F.row_number().over(Window.orderBy(hash_u01(seed, F.col("id")), "id")) - 1).alias("__turn"))
+    deal = deal.where(F.col("__turn") < dealt)
     return rows.join(F.broadcast(deal), "__shard").withColumn("client_id", (F.col("__turn") % clients).cast("int")).drop("idx", "__before", "__shard", "__turn")
 
 
@@ -176,5 +219,5 @@ def part_continuous(df: DataFrame, clients: int, column: str, key: str, seed: in
     s = df.agg(F.avg(column).alias("m"), F.stddev_pop(column).alias("s"), F.count("*").alias("n")).first()
     z = (F.col(column) - F.lit(s["m"])) / F.lit(s["s"] or 1.0)
     score = F.lit(strictness) * z + F.lit(1 - strictness) * (hash_u01(seed, F.col(key)) * 2 - 1)
-    ranked = row_index(df.withColumn("__score", score), [F.round("__score", 9), F.col(key)], F.round("__score", 9))
+    ranked = row_index(df.withColumn("__score", score), [F.round("__score", 9), F.col(key)])
     return ranked.withColumn("client_id", _by_bounds(F.col("idx"), equal_blocks(s["n"], clients))).drop("idx", "__score")

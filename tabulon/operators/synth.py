@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_u01, number
-from ..functions.schema import TableSchema
-from ..functions.tables import melt
+from ..functions.schema import ColumnSchema, TableSchema
+from ..functions.tables import melt, quantiles
 from .encode import mixture_start, responsibilities
 from .split import category_weights, draw_category
 
@@ -36,7 +37,9 @@ GRID = [i / 20 for i in range(21)]
 
 def fit_marginals(df: DataFrame, numeric: Sequence[str], nominal: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(column, grid) of quantiles, merged over clients by their rows, and (column, category, n, weight)."""
-    by_client = melt(df, numeric, ["client_id"], convert=number).where("value IS NOT NULL").groupBy("client_id", "column").agg(F.percentile("value", F.array(*map(F.lit, GRID))).alias("grid"), F.count("*").alias("n"))
+    long = melt(df, numeric, ["client_id"], convert=number).where("value IS NOT NULL")
+    counts = long.groupBy("client_id", "column").agg(F.count("*").alias("n"))
+    by_client = quantiles(long, ["client_id", "column"], GRID).withColumnRenamed("quantiles", "grid").join(counts, ["client_id", "column"])
     points = by_client.select("column", "n", F.posexplode("grid").alias("pos", "value"))
     merged = points.groupBy("column", "pos").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("value"))
     grids = merged.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("grid"))
@@ -107,3 +110,74 @@ def check_sample(sample: DataFrame, schema: TableSchema, n: int) -> DataFrame:
     if (got := sample.count()) != n or not n:
         raise ValueError(f"{got} rows instead of {n}")
     return sample
+
+
+@dataclass(frozen=True)
+class Synthesizer:
+    """fit(df, schema) is a state, a dict of small tables and numbers, of a table with client_id, whose clients are merged in it;
+    draw(state, schema, n, seed) has the schema's columns and n rows."""
+
+    fit: Callable[[DataFrame, TableSchema], dict]
+    draw: Callable[[dict, TableSchema, int, int], DataFrame]
+
+    def sample(self, state: dict, schema: TableSchema, n: int, seed: int) -> DataFrame:
+        """n rows of the schema's columns; raises where the drawing gives something else."""
+        return check_sample(self.draw(state, schema, n, seed).select(*[F.col(f"`{c.name}`") for c in schema.columns]), schema, n)
+
+
+def _columns(schema: TableSchema) -> tuple[list[str], list[str]]:
+    numeric = [c.name for c in schema.columns if c.kind in ("continuous", "integer")]
+    return numeric, [c.name for c in schema.columns if c.name not in numeric]
+
+
+def _typed(c: ColumnSchema, value: Column) -> Column:
+    return (F.round(value).cast("long") if c.kind == "integer" else value).alias(c.name)
+
+
+def _wide(schema: TableSchema, number: DataFrame, text: DataFrame | None) -> DataFrame:
+    """number: (id, column, value); text: (id, column, value). A row an id."""
+    numeric, nominal = _columns(schema)
+    rows = number.select("id", "column", F.col("value").cast("double").alias("x"), F.lit(None).cast("string").alias("s"))
+    if text is not None:
+        rows = rows.union(text.select("id", "column", F.lit(None).cast("double"), "value"))
+    pick = lambda name, c: F.max(F.when(F.col("column") == name, F.col(c)))
+    got = rows.groupBy("id").agg(*[pick(n, "x").alias(f"x{i}") for i, n in enumerate(numeric)], *[pick(n, "s").alias(f"s{i}") for i, n in enumerate(nominal)])
+    return got.select(*[_typed(c, F.col(f"x{numeric.index(c.name)}" if c.name in numeric else f"s{nominal.index(c.name)}")) for c in schema.columns])
+
+
+def _categories(shares: DataFrame, n: int, seed: int) -> DataFrame:
+    none = shares.sparkSession.createDataFrame([], "column string, grid array<double>")
+    return marginal_rows(none, shares, n, seed).select("id", "column", F.col("category").alias("value"))
+
+
+def _fit_marginal(df: DataFrame, schema: TableSchema) -> dict:
+    grids, shares = fit_marginals(df, *_columns(schema))
+    return {"grids": grids, "shares": shares}
+
+
+def _draw_marginal(state: dict, schema: TableSchema, n: int, seed: int) -> DataFrame:
+    rows = marginal_rows(state["grids"], state["shares"], n, seed)
+    return _wide(schema, rows.where("number IS NOT NULL").select("id", "column", F.col("number").alias("value")), rows.where("category IS NOT NULL").select("id", "column", F.col("category").alias("value")))
+
+
+def _fit_mixture(df: DataFrame, schema: TableSchema) -> dict:
+    numeric, nominal = _columns(schema)
+    return {"modes": fit_mixture(df, numeric), "shares": category_weights(df, nominal, log=False)}
+
+
+def _draw_mixture(state: dict, schema: TableSchema, n: int, seed: int) -> DataFrame:
+    return _wide(schema, mixture_rows(state["modes"], n, seed), _categories(state["shares"], n, seed))
+
+
+def _draw_uniform(state: dict, schema: TableSchema, n: int, seed: int) -> DataFrame:
+    numeric, _ = _columns(schema)
+    rows = uniform_rows(state["rows"], numeric, n, seed)
+    return _wide(schema, melt(rows, numeric, ["id"]), _categories(state["shares"], n, seed))
+
+
+SYNTHESIZERS = {
+    "constant": Synthesizer(lambda df, schema: {"spark": df.sparkSession}, lambda state, schema, n, seed: constant_rows(state["spark"], schema, n)),
+    "uniform": Synthesizer(lambda df, schema: {"rows": df, "shares": category_weights(df, _columns(schema)[1], log=False)}, _draw_uniform),
+    "marginal": Synthesizer(_fit_marginal, _draw_marginal),
+    "mixture": Synthesizer(_fit_mixture, _draw_mixture),
+}

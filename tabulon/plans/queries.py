@@ -204,6 +204,11 @@ def part_shard(spark, d):
     return split.part_shard(orders(spark, d).drop("client_id"), CLIENTS, "o_orderstatus", "o_orderkey", 42).select("o_orderkey", "client_id")
 
 
+@query(f"WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus, o_orderkey) - 1 AS idx FROM orders), s AS (SELECT range AS s FROM range((SELECT floor(count(*) / 100)::BIGINT FROM orders))), deal AS (SELECT s, row_number() OVER (ORDER BY {u01(42, 's')}, s) - 1 AS turn FROM s) SELECT o_orderkey, (turn % {CLIENTS})::INT AS client_id FROM r JOIN deal ON s = floor(idx / 100)")
+def part_shard_sized(spark, d):
+    return split.part_shard(orders(spark, d).drop("client_id"), CLIENTS, "o_orderstatus", "o_orderkey", 42, shards_each=None, shard_size=100).select("o_orderkey", "client_id")
+
+
 @query(f"WITH z AS (SELECT o_orderkey, round(0.5::DOUBLE * ((o_totalprice - avg(o_totalprice) OVER ()) / stddev_pop(o_totalprice) OVER ()) + 0.5::DOUBLE * ({u01(42, 'o_orderkey')} * 2 - 1), 9) AS sc FROM orders), r AS (SELECT o_orderkey, row_number() OVER (ORDER BY sc, o_orderkey) - 1 AS idx, count(*) OVER () AS n FROM z) SELECT o_orderkey, {_equal_sql()} AS client_id FROM r")
 def part_continuous(spark, d):
     return split.part_continuous(orders(spark, d).drop("client_id"), CLIENTS, "o_totalprice", "o_orderkey", 42).select("o_orderkey", "client_id")
@@ -236,6 +241,11 @@ def moments_merged(spark, d):
     return _std(fidelity.merge_moments(fidelity.moments(fidelity.numbers(real(spark, d), NUM, ["client_id"]), ["client_id"])))
 
 
+@query(with_("real") + f"SELECT client_id, \"column\", count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM ({unpivot('real', NUM, 'client_id')}) GROUP BY GROUPING SETS ((client_id, \"column\"), (\"column\"))")
+def moments_grouping_sets(spark, d):
+    return _std(fidelity.moments(fidelity.numbers(real(spark, d), NUM, ["client_id"]), ["client_id"], whole_too=True))
+
+
 def _cdf_sql(rsrc: str, ssrc: str, keys: str) -> str:
     return f"b AS (SELECT {keys}, value, sum(r) AS r, sum(s) AS s FROM (SELECT {keys}, value, 1 AS r, 0 AS s FROM ({rsrc}) UNION ALL SELECT {keys}, value, 0, 1 FROM ({ssrc})) GROUP BY ALL), f AS (SELECT {keys}, value, (sum(r) OVER w)::DOUBLE / sum(r) OVER (PARTITION BY {keys}) AS fr, (sum(s) OVER w)::DOUBLE / sum(s) OVER (PARTITION BY {keys}) AS fs, lead(value) OVER w AS nx FROM b WINDOW w AS (PARTITION BY {keys} ORDER BY value))"
 
@@ -452,16 +462,28 @@ def mia_scores(spark, d):
     return rounded(privacy.membership_scores(_nearest(spark, d)), 4)
 
 
-@query()
+_MIA_BY = f"""WITH p AS (SELECT o_orderkey, (o_custkey % 3)::INT AS client_id, (o_orderkey % 3 = 0)::INT AS label, o_totalprice::DOUBLE AS a, o_custkey::DOUBLE AS b, row_number() OVER (PARTITION BY o_custkey % 3, o_orderkey % 3 ORDER BY {u01(46, 'o_orderkey')}, o_orderkey) AS rn FROM orders WHERE o_orderkey % 3 < 2),
+k AS (SELECT client_id, least(1000, count(*) FILTER (label = 1), count(*) FILTER (label = 0)) AS k FROM p GROUP BY 1), q AS (SELECT p.* FROM p JOIN k USING (client_id) WHERE rn <= k),
+s AS (SELECT o_totalprice::DOUBLE AS a, o_custkey::DOUBLE AS b FROM orders WHERE o_orderkey % 3 = 2), r AS (SELECT min(a) AS aw0, max(a) - min(a) AS aw, max(b) - min(b) AS bw FROM s),
+nn AS (SELECT client_id, o_orderkey, label, -sqrt(min(pow((q.a - s.a) / aw, 2) + pow((q.b - s.b) / bw, 2))) AS sc FROM q, s, r GROUP BY ALL),
+g AS (SELECT client_id, sc, sum(label) AS p, sum(1 - label) AS n FROM nn GROUP BY ALL), au AS (SELECT client_id, sum(p * (below + 0.5 * n)) / (sum(p)::DOUBLE * sum(n)) AS auc FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY client_id ORDER BY sc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) GROUP BY 1)
+"""
+
+
+@query(_MIA_BY + "SELECT client_id, k, round(auc, 4) AS mia_auc FROM au JOIN k USING (client_id)")
+def mia_by_client(spark, d):
+    return rounded(_mia_by_client(spark, d).select("client_id", "k", "mia_auc"), 4)
+
+
+@query(_MIA_BY + "SELECT round(sum(auc * k) / sum(k), 4) AS mia_auc FROM au JOIN k USING (client_id)")
 def mia_federated(spark, d):
-    o = orders(spark, d).select("o_orderkey", "o_totalprice", F.col("o_custkey").cast("double").alias("o_custkey"), "client_id")
-    parts = None
-    for c in sorted(r[0] for r in o.select("client_id").distinct().collect()):
-        third = lambda i, c=c: o.where((F.col("o_orderkey") % 3 == i) & (F.col("client_id") == c)).drop("client_id")
-        got = privacy.membership_scores(privacy.nearest_distances(privacy.probe(third(0), third(1), "o_orderkey"), o.where(F.col("o_orderkey") % 3 == 2), ["o_totalprice", "o_custkey"]))
-        part = got.select(F.lit(c).alias("client_id"), "mia_auc", F.lit(1.0 * min(privacy.PROBE, third(0).count(), third(1).count())).alias("k"))
-        parts = part if parts is None else parts.unionByName(part)
-    return privacy.membership_federated(parts)
+    return rounded(privacy.membership_federated(_mia_by_client(spark, d)), 4)
+
+
+def _mia_by_client(spark, d):
+    o = orders(spark, d).select("o_orderkey", "client_id", "o_totalprice", F.col("o_custkey").cast("double").alias("o_custkey"))
+    third = lambda i: o.where(F.col("o_orderkey") % 3 == i)
+    return privacy.membership_by_client(third(0), third(1), third(2), "o_orderkey", ["o_totalprice", "o_custkey"])
 
 
 # ---- runs and metrics plumbing
@@ -477,15 +499,15 @@ def run_scalability(spark, d):
 @query(with_("runs") + _RUNS)
 def stream_scalability(spark, d):
     source = spark.read.parquet(f"{d}/events.parquet").schema
-    folder, name = f"{d}/events.parquet", "run_totals_" + scratch_path(spark, "s")[-32:]
+    folder = f"{d}/events.parquet"
     path = scratch_path(spark, "events")
     spark.read.parquet(folder).write.parquet(path)
     stream = spark.readStream.schema(source).parquet(path)
     kind = F.when(F.col("event_type") == "click", "request").when(F.col("event_type") == "view", "reply").when(F.col("event_type") == "purchase", "round").otherwise(F.col("event_type"))
     events = stream.select((F.col("user_id") % 5).alias("run_id"), "ts", kind.alias("type"), F.floor("value").cast("long").alias("byte_count"))
-    running = monitor.stream_totals(events, name, scratch_path(spark, "stream"))
-    running.awaitTermination()
-    return rounded(spark.table(name), 3)
+    totals = scratch_path(spark, "totals")
+    monitor.stream_totals(events, totals, scratch_path(spark, "stream")).awaitTermination()
+    return rounded(monitor.latest_totals(spark, totals), 3)
 
 
 @query(with_("runs") + "SELECT event_id, run_id, type FROM runs WHERE type IN ('request', 'reply')")
@@ -540,16 +562,53 @@ def merged_metrics(spark, d):
     return rounded(metrics.merge_metrics(low, long.where(F.col("column").isin("l_tax", "l_discount")).groupBy(F.col("column").alias("key")).agg(F.max("value").alias("value"))))
 
 
-@query()
-def full_report(spark, d):
+_KEY = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+_LATE = "SELECT *, (l_linestatus = 'F')::INT AS late FROM lineitem"
+#: What clients train on: the first lines of orders, less a fifth of each client's rows, which it holds out.
+_TRAIN = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY {u01(43, _KEY)}, {_KEY}) - 1 AS idx, count(*) OVER (PARTITION BY client_id) AS n_rows FROM (SELECT *, (l_suppkey % 3)::INT AS client_id FROM ({_LATE}) WHERE l_linenumber < 4)) WHERE idx >= ceil(0.2::DOUBLE * n_rows)"
+_FLAGS = ["l_returnflag", "late"]
+_MEANS = """SELECT 'fidelity.mean_abs_diff' AS key, avg(abs(rm.m - sm.m)) AS value FROM rm JOIN sm USING ("column") UNION ALL SELECT 'fidelity.std_abs_diff', avg(abs(rm.s - sm.s)) FROM rm JOIN sm USING ("column")"""
+_TVS = _TV.replace(unpivot("real", NOM), unpivot("real", _FLAGS)).replace(unpivot("syn", NOM), unpivot("syn", _FLAGS))
+_TV_MEAN = "SELECT 'fidelity.categorical_tv_mean', avg(tv) FROM (" + 'SELECT "column", 0.5 * sum(abs(coalesce(p, 0) - coalesce(q, 0))) AS tv FROM p FULL JOIN q USING ("column", value) GROUP BY 1)'
+_NO_RUN = " UNION ALL ".join(f"SELECT 'scalability.{k}', NULL" for k in metrics.SPECS["scalability"])
+_GLOBAL_FID = (
+    f"WITH real AS (SELECT * FROM ({_LATE}) WHERE l_linenumber = 4), syn AS (SELECT * FROM ({_LATE}) WHERE l_linenumber > 4), {_MOM}, {_DIST}, {_TVS}, k AS (SELECT \"column\", max(abs(fr - fs)) AS ks, sum(abs(fr - fs) * (nx - value)) AS w FROM f GROUP BY 1) {_MEANS} "
+    + "UNION ALL SELECT 'fidelity.ks_mean', avg(ks) FROM k UNION ALL SELECT 'fidelity.wasserstein_mean', avg(w) FROM k UNION ALL SELECT 'fidelity.t_stat_mean_abs', avg(abs(rm.m - sm.m) / sqrt(rm.s * rm.s / rm.n + sm.s * sm.s / sm.n)) FROM rm JOIN sm USING (\"column\") "
+    + f"UNION ALL {_TV_MEAN} UNION ALL SELECT 'fidelity.corr_fro_diff', sqrt(2 * (" + " + ".join(f"pow(r{i} - s{i}, 2)" for i in range(len(_PAIRS))) + ")) FROM (SELECT " + ", ".join(f"corr({a}, {b}) AS r{i}" for i, (a, b) in enumerate(_PAIRS)) + " FROM real), (SELECT " + ", ".join(f"corr({a}, {b}) AS s{i}" for i, (a, b) in enumerate(_PAIRS)) + f" FROM syn) UNION ALL {_NO_RUN}"
+)
+_FED_FID = (
+    f"WITH real AS ({_TRAIN}), syn AS (SELECT * FROM ({_LATE}) WHERE l_linenumber > 4), {_MOM}, {_FED}, {_TVS}, k AS (SELECT client_id, \"column\", max(abs(fr - fs)) AS ks, sum(abs(fr - fs) * (nx - value)) AS w FROM f GROUP BY ALL), "
+    + f"rc AS (SELECT client_id, \"column\", count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM ({unpivot('real', NUM, 'client_id')}) GROUP BY ALL), t AS (SELECT client_id, \"column\", rc.n, abs(rc.m - sm.m) / sqrt(rc.v / rc.n + sm.s * sm.s / sm.n) AS t FROM rc JOIN sm USING (\"column\")), "
+    + f"c AS (SELECT client_id, avg(ks) AS ks, avg(w) AS w, avg(t) AS t, max(n) AS n FROM k JOIN t USING (client_id, \"column\") GROUP BY 1) {_MEANS} UNION ALL SELECT 'fidelity.ks_mean', sum(ks * n) / sum(n) FROM c UNION ALL SELECT 'fidelity.wasserstein_mean', sum(w * n) / sum(n) FROM c UNION ALL SELECT 'fidelity.t_stat_mean_abs', sum(t * n) / sum(n) FROM c "
+    + f"UNION ALL {_TV_MEAN} UNION ALL SELECT 'fidelity.corr_fro_diff', NULL UNION ALL {_NO_RUN}"
+)
+
+
+def _context(spark, d) -> suite.Context:
     t = table(spark, d, "lineitem").withColumn("late", (F.col("l_linestatus") == "F").cast("int")).withColumn("key", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     cols = [*NUM, "l_returnflag", "late"]
     schema = sch.TableSchema((*_SCHEMA.columns[:5], sch.ColumnSchema("late", "binary")))
-    ctx = suite.Context(
-        schema=schema, key="key", target="late", sensitive=("l_returnflag",), syn=t.where("l_linenumber > 4").select(*cols),
-        train=t.where("l_linenumber < 4").select("key", (F.col("l_suppkey") % 3).cast("int").alias("client_id"), *cols), holdout=t.where("l_linenumber = 4").select("key", *cols),
+    own = t.where("l_linenumber < 4").select("key", (F.col("l_suppkey") % 3).cast("int").alias("client_id"), *cols)
+    own = split.client_split(own, "key", 0.2, 43)
+    return suite.Context(
+        schema=schema, key="key", target="late", sensitive=("l_returnflag",), syn=t.where("l_linenumber > 4").select(*cols), holdout=t.where("l_linenumber = 4").select("key", *cols),
+        train=split.all_train(own).drop("split"), test=own.where("split = 'test'").drop("split"),
     )
-    return suite.report(ctx).unionByName(suite.report(ctx, by_client=True))
+
+
+def _both(spark, d, *categories: str) -> DataFrame:
+    ctx = _context(spark, d)
+    return suite.report(ctx, categories).unionByName(suite.report(ctx, categories, by_client=True))
+
+
+@query(f"SELECT 'global' AS mode, key, round(value::DOUBLE, 6) AS value FROM ({_GLOBAL_FID}) UNION ALL SELECT 'federated', key, round(value::DOUBLE, 6) FROM ({_FED_FID})")
+def report_fidelity(spark, d):
+    return rounded(_both(spark, d, "fidelity"))
+
+
+@query()
+def full_report(spark, d):
+    return _both(spark, d, *metrics.SPECS)
 
 
 # ---- aggregation of client state
@@ -619,7 +678,7 @@ def minmax_scale(spark, d):
 @query("SELECT o_orderkey, code FROM orders JOIN (SELECT o_orderpriority, (row_number() OVER (ORDER BY o_orderpriority) - 1)::INT AS code FROM (SELECT DISTINCT o_orderpriority FROM orders)) USING (o_orderpriority)")
 def label_encode(spark, d):
     o = table(spark, d, "orders")
-    return o.join(F.broadcast(encode.label_codes(o, "o_orderpriority")), F.col("o_orderpriority") == F.col("value")).select("o_orderkey", "code")
+    return o.join(encode.label_codes(o, "o_orderpriority"), F.col("o_orderpriority") == F.col("value")).select("o_orderkey", "code")
 
 
 @query(f"WITH c AS (SELECT list(DISTINCT o_orderpriority ORDER BY o_orderpriority) AS l FROM orders) SELECT o_orderkey, l[1 + least(len(l) - 1, greatest(0, round_even({u01(60, 'o_orderkey')} * (len(l) - 1), 0)))::INT] AS value FROM orders, c")
@@ -627,7 +686,7 @@ def label_decode(spark, d):
     o = table(spark, d, "orders")
     codes = encode.label_codes(o, "o_orderpriority")
     n = codes.count()
-    return o.withColumn("code", encode.code_of_unit(hash_u01(60, F.col("o_orderkey")), n)).join(F.broadcast(codes), "code").select("o_orderkey", "value")
+    return o.withColumn("code", encode.code_of_unit(hash_u01(60, F.col("o_orderkey")), n)).join(codes, "code").select("o_orderkey", "value")
 
 
 @query("SELECT value, (row_number() OVER (ORDER BY value) - 1)::INT AS code FROM (SELECT 'o_orderstatus_' || o_orderstatus AS value FROM orders UNION SELECT 'o_orderpriority_' || o_orderpriority FROM orders)")
@@ -670,7 +729,7 @@ def one_hot(spark, d):
     o = table(spark, d, "orders")
     places = encode.category_order(o, "o_orderpriority")
     n = places.count()
-    return o.join(F.broadcast(places), F.col("o_orderpriority") == F.col("value")).select("o_orderkey", F.array_join(encode.one_hot(F.col("place"), n), "").alias("hot"))
+    return o.join(places, F.col("o_orderpriority") == F.col("value")).select("o_orderkey", F.array_join(encode.one_hot(F.col("place"), n), "").alias("hot"))
 
 
 @query(f"WITH v AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS code FROM (SELECT 'o_orderstatus_' || o_orderstatus AS value FROM orders UNION SELECT 'o_orderpriority_' || o_orderpriority FROM orders)), c AS (SELECT code FROM v WHERE value LIKE 'o_orderstatus%'), x AS (SELECT o_orderkey AS id, {u01(62, 'o_orderkey')} * 10 AS value FROM orders) SELECT id, arg_min(code, (abs(code - value), code))::INT AS code FROM x, c GROUP BY id")

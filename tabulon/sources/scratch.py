@@ -6,10 +6,22 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; below a temporary folder where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.gettempdir(), "tabulon-scratch").as_uri()
+    """A new path below spark.checkpoint.dir. Where that is unset, below a temporary folder on a local master (tests), whose
+    executors share it; else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = Path(tempfile.gettempdir(), "tabulon-scratch").as_uri()
     return f"{base.rstrip('/')}/tabulon/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written and read back: it is worked out once, and a lost executor loses nothing."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.schema import TableSchema, to_json
+from ..functions.schema import TableSchema, infer_schema, to_json
 
 
 def load_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -43,6 +43,15 @@ def run_id(synthesizer: str, dataset: str, stamp: str) -> str:
     return f"{stamp}-{synthesizer}-{dataset}-{uuid.uuid4().hex[:8]}"
 
 
+def write_schema(df: DataFrame, path: str, overwrite: bool = False) -> TableSchema:
+    """Infer the kinds of a table's columns and write them as a schema file for people to look over. A file that is there stays
+    unless overwrite is set: it may have been corrected by hand."""
+    schema = infer_schema(df)
+    text = df.sparkSession.createDataFrame([(to_json(schema),)], "value string")
+    text.coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").text(path)
+    return schema
+
+
 def write_run(spark: SparkSession, path: str, run: str, config: dict[str, str], schema: TableSchema, components: list[str]) -> None:
     """One row for a run: its settings, schema and components. A run id is written once."""
     row = spark.createDataFrame([(run, config, to_json(schema), components)], "run_id string, config map<string,string>, schema string, components array<string>")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulon.functions import exprs, schema, tables
-from tabulon.operators import clean, metrics
+from tabulon.operators import clean, encode, metrics
 from tabulon.sources import tables as io
 
 
@@ -56,13 +56,12 @@ def test_prefixes(spark):
     assert [r[0] for r in clean.remove_prefixes(there, ["c"]).collect()] == ["a", None]
 
 
-@pytest.mark.parametrize("slices", [1, 5])
-def test_row_index(spark, slices):
+def test_row_index(spark):
     df = spark.range(500).withColumn("x", (F.col("id") * 7919 % 100).cast("double")).withColumn("g", F.col("id") % 3)
-    got = tables.row_index(df, [F.col("x"), F.col("id")], F.col("x"), slices=slices).orderBy("idx").collect()
+    got = tables.row_index(df, [F.col("x"), F.col("id")]).orderBy("idx").collect()
     assert [r["idx"] for r in got] == list(range(500))
     assert [(r["x"], r["id"]) for r in got] == sorted((r["x"], r["id"]) for r in got)
-    by = tables.row_index(df, [F.col("x"), F.col("id")], F.col("x"), ["g"], slices=slices).collect()
+    by = tables.row_index(df, [F.col("x"), F.col("id")], ["g"]).collect()
     for g in range(3):
         mine = sorted((r for r in by if r["g"] == g), key=lambda r: r["idx"])
         assert [r["idx"] for r in mine] == list(range(len(mine))) and [(r["x"], r["id"]) for r in mine] == sorted((r["x"], r["id"]) for r in mine)
@@ -103,3 +102,41 @@ def test_keys(spark):
 def test_hash_is_uniform(spark):
     u = [r[0] for r in spark.range(4000).select(exprs.hash_u01(1, F.col("id"))).collect()]
     assert 0 <= min(u) and max(u) < 1 and math.isclose(sum(u) / len(u), 0.5, abs_tol=0.02)
+
+
+def test_running_sums_over_ranges(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 500).cast("double").alias("v"), F.lit(2).alias("n")).groupBy("g", "v").agg(F.sum("n").alias("n"))
+    got = tables.running_sums(df, ["n"], ["g"], ["v"], following=True).collect()
+    for g in range(3):
+        mine = sorted((r for r in got if r["g"] == g), key=lambda r: r["v"])
+        before = 0
+        for r, after in zip(mine, [*mine[1:], None], strict=True):
+            assert (r["n_before"], r["n_all"], r["next"]) == (before, sum(x["n"] for x in mine), after["v"] if after else None)
+            before += r["n"]
+
+
+def test_quantiles(spark):
+    rows = [("a", float(v)) for v in (5, 1, 1, 9, 2)] + [("b", 3.0), ("b", None)]
+    got = dict(tables.quantiles(spark.createDataFrame(rows, "k string, value double"), ["k"], [0, 0.25, 0.5, 0.6, 1]).collect())
+    assert got == {"a": [1.0, 1.0, 2.0, pytest.approx(3.2), 9.0], "b": [3.0] * 5}
+
+
+def test_schema_file(spark, frame, tmp_path):
+    path = str(tmp_path / "schema")
+    made = io.write_schema(frame, path)
+    assert schema.load_or_infer(spark, path, frame) == made
+    with pytest.raises(Exception, match=r"(?i)already exists"):
+        io.write_schema(frame, path)
+    assert io.write_schema(frame, path, overwrite=True) == made
+
+
+def test_quantile_transform_and_its_inverse(spark):
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate([3, 1, 4, 1, 5, 9, 2, 6])], "id long, x double")
+    ranked = encode.quantile_uniform(df, "x")
+    back = encode.uniform_quantile(ranked.drop("x"), ranked, "u", "x").orderBy("id").collect()
+    assert [r["value"] for r in back] == [3, 1, 4, 1, 5, 9, 2, 6]
+    asked = spark.createDataFrame([(0, -1.0), (1, 2.0), (2, None), (3, 0.5)], "id long, u double")
+    got = {r["id"]: r["value"] for r in encode.uniform_quantile(asked, ranked, "u", "x").collect()}
+    assert got == {0: 1.0, 1: 9.0, 2: None, 3: pytest.approx(3.5)}
+    z = ranked.select("u", encode.normal_share(encode.probit("u")).alias("v"))
+    assert all(abs(r["v"] - min(max(r["u"], 1e-7), 1 - 1e-7)) < 1e-9 for r in z.collect())

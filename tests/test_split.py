@@ -3,6 +3,7 @@
 import math
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +76,33 @@ def test_samples(pool):
     assert len(got) == 300 and all(str(r["id"] % 3) == r["category"] for r in got)
     w = {r["category"]: r["weight"] for r in split.category_weights(pool, ["label"]).collect()}
     assert math.isclose(sum(w.values()), 1.0)
+
+
+def test_class_owners():
+    classes = list("abcd")
+    assert split.class_owners(classes, 3, 2) == {"a": [0, 2], "b": [0, 2], "c": [1], "d": [1]}
+    for mode in ("random", "first-deterministic"):
+        owners = split.class_owners(classes, 6, 2, mode, seed=3)
+        assert sorted(i for o in owners.values() for i in o) == sorted([*range(6)] * 2) and all(len(o) == len(set(o)) for o in owners.values())
+        assert owners == split.class_owners(classes, 6, 2, mode, seed=3)
+    assert all(i in split.class_owners(classes, 6, 2, "first-deterministic", 3)[classes[i % 4]] for i in range(6))
+    with pytest.raises(ValueError, match="mode"):
+        split.class_owners(classes, 2, 1, "other")
+
+
+def test_shares_that_balance_themselves():
+    counts = {c: 1000 for c in "abcdef"}
+    size = lambda shares: np.sum([np.array(s) * 1000 for s in shares.values()], axis=0)
+    plain, even = split.dirichlet_shares(counts, 4, 0.1, 5), split.dirichlet_shares(counts, 4, 0.1, 5, self_balancing=True)
+    assert all(np.isclose(sum(s), 1) for s in [*plain.values(), *even.values()])
+    assert np.ptp(size(even)) < np.ptp(size(plain))
+
+
+def test_shards_of_a_size(spark):
+    df = spark.range(95).withColumn("c", F.col("id") % 2)
+    sizes = lambda **k: sorted(r["count"] for r in split.part_shard(df, 3, "c", "id", 1, **k).groupBy("client_id").count().collect())
+    assert sizes(shards_each=None, shard_size=10) == [30, 30, 30]
+    assert sum(sizes(shards_each=None, shard_size=10, keep_incomplete=True)) == 95
+    assert sizes(shards_each=2, shard_size=10) == [20, 20, 20]
+    with pytest.raises(ValueError, match="too few"):
+        sizes(shards_each=4, shard_size=10)

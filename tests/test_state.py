@@ -1,13 +1,16 @@
 """Client state, encoders, generators, monitoring, report, registration."""
 
+import dataclasses
+import hashlib
 import math
 from statistics import NormalDist
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tabulon.functions.schema import ColumnSchema, TableSchema
-from tabulon.operators import encode, federate, split, synth
+from tabulon.operators import encode, federate, learn, split, synth
 from tabulon.plans import suite
 from tabulon.streaming import monitor
 
@@ -100,9 +103,9 @@ def test_streams(spark, tmp_path):
     events = spark.createDataFrame(rows, "run_id string, s double, type string, byte_count long").withColumn("ts", F.timestamp_micros((F.col("s") * 1e6).cast("long"))).drop("s")
     events.write.parquet(str(tmp_path / "e"))
     stream = lambda: spark.readStream.schema(events.schema).parquet(str(tmp_path / "e"))
-    monitor.stream_totals(stream(), "totals_test").awaitTermination()
+    monitor.stream_totals(stream(), str(tmp_path / "totals")).awaitTermination()
     batch = sorted(map(tuple, monitor.run_totals(events).collect()))
-    assert sorted(map(tuple, spark.table("totals_test").collect())) == batch == [("a", 3.0, 5, 7, 1), ("b", 0.0, 0, 0, 0)]
+    assert sorted(map(tuple, monitor.latest_totals(spark, str(tmp_path / "totals")).collect())) == batch == [("a", 3.0, 5, 7, 1), ("b", 0.0, 0, 0, 0)]
     heard = []
 
     def fails(batch, n):
@@ -113,17 +116,27 @@ def test_streams(spark, tmp_path):
     assert sum(heard) == 2
 
 
-def test_report_and_registration(spark):
-    df = spark.range(400).select("id", ((F.col("id") * 37 % 101) / 7.0).alias("x"), (F.col("id") % 10).cast("double").alias("w"), (F.col("id") * 13 % 2).cast("int").alias("y"), (F.col("id") % 3).cast("string").alias("s"))
-    schema = TableSchema((ColumnSchema("x", "continuous"), ColumnSchema("w", "continuous"), ColumnSchema("y", "binary"), ColumnSchema("s", "categorical")))
+def scored_tables(spark):
+    df = spark.range(400).select("id", ((F.col("id") * 37 % 101) / 7.0).alias("x"), (F.col("id") % 10).cast("double").alias("w"), (F.col("id") * 13 % 2).cast("int").alias("y"), (F.col("id") % 3).cast("string").alias("Stage 1.s"))
+    schema = TableSchema((ColumnSchema("x", "continuous"), ColumnSchema("w", "continuous"), ColumnSchema("y", "binary"), ColumnSchema("Stage 1.s", "categorical")))
     cut = split.holdout_split(df, "id", 0.3, 1)
-    ctx = suite.Context(schema, split.part_iid(split.all_train(cut).drop("split"), 2, "id", 1), cut.where("split = 'holdout'").drop("split"), df.drop("id"), "id", "y", ("s",))
+    own = split.client_split(split.part_iid(split.all_train(cut).drop("split"), 2, "id", 1), "id", 0.3, 2)
+    runs = spark.createDataFrame([("a", 1, "request", 5), ("a", 4, "reply", 7), ("a", 5, "round", 0)], "run_id string, s long, type string, byte_count long").withColumn("ts", F.timestamp_seconds("s"))
+    seconds = spark.createDataFrame([(0, 2.0), (1, 2.0)], "client_id int, value double")
+    return df, suite.Context(schema, split.all_train(own).drop("split"), cut.where("split = 'holdout'").drop("split"), df.drop("id"), "id", "y", ("Stage 1.s",), test=own.where("split = 'test'").drop("split"), runs=runs, seconds=seconds)
+
+
+def test_report_and_registration(spark):
+    df, ctx = scored_tables(spark)
     for by_client in (False, True):
         got = suite.report(ctx, by_client=by_client)
-        assert suite.check_keys(got, ["fidelity", "utility", "privacy", "fairness"], ["s"]).count() == 0
+        assert suite.check_keys(got, ["fidelity", "utility", "privacy", "fairness"], ctx.sensitive).count() == 0
         values = {r["key"]: r["value"] for r in got.collect()}
         assert (values["fidelity.corr_fro_diff"] is None) == by_client
         assert (values["privacy.exact_row_match_rate_train"] is None) != by_client
+        assert (values["privacy.mia_accuracy"] is None) == by_client and values["privacy.mia_auc"] is not None
+        assert values["privacy.aia_accuracy.stage_s"] is not None and "fairness.demographic_parity_diff.stage_s" in values
+        assert [values[f"scalability.{k}"] for k in ("wall_clock_seconds", "bytes_sent", "rounds_to_converge", "local_train_seconds_mean")] == ([4.0, 5.0, 1.0, 2.0] if by_client else [None] * 4)
         assert all(v is None or math.isfinite(v) for v in values.values())
     rows = lambda c: c.syn.agg(F.lit("fidelity.rows").alias("key"), F.count("*").cast("double").alias("value"))
     suite.register_evaluator("rows", suite.Evaluator("fidelity", ("fidelity.rows",), rows, rows))
@@ -131,9 +144,67 @@ def test_report_and_registration(spark):
         assert suite.single(ctx, "fidelity.rows").first()["value"] == 400
         with pytest.raises(ValueError, match="taken"):
             suite.register_evaluator("other", suite.Evaluator("fidelity", ("fidelity.rows",), rows, rows))
+        with pytest.raises(ValueError, match="taken"):
+            suite.register_evaluator("other", suite.Evaluator("utility", ("utility.tstr_auc",), rows, rows))
     finally:
         del suite.EVALUATORS["rows"]
     with pytest.raises(ValueError, match="on its own"):
         suite.single(ctx, "scalability.bytes_sent")
     suite.register_partitioner("halves", lambda df, clients, seed=0: df.withColumn("client_id", (F.col("id") % clients).cast("int")))
     assert suite.PARTITIONERS["halves"](df, 2).select("client_id").distinct().count() == 2
+
+
+def test_one_evaluator_runs_for_one_metric(spark, monkeypatch):
+    _, ctx = scored_tables(spark)
+    ran = []
+    for name, e in suite.BUILT_IN.items():
+        monkeypatch.setitem(suite.BUILT_IN, name, suite.Evaluator(e.category, e.keys, lambda c, n=name, e=e: (ran.append(n), e.whole(c))[1], e.federated, e.stops))
+    assert suite.single(ctx, "fidelity.categorical_tv_mean").count() == 1 and ran == ["categories"]
+
+
+def test_stop_metrics(spark):
+    assert suite.stop_metric("utility.tstr_auc") is True and suite.stop_metric("fidelity.ks_mean") is False
+    assert suite.stop_metric("fidelity.ks_mean", higher=True) is True and suite.stop_metric("privacy.aia_auc.s_x", ["S x"]) is False
+    for key, among in (("fidelity.none", tuple(suite.BUILT_IN)), ("scalability.bytes_sent", ("fidelity",)), ("privacy.exact_row_match_any", ("privacy",)), ("utility.tstr_auc", ("fidelity",)), ("privacy.aia_auc.s", ("privacy",))):
+        with pytest.raises(ValueError, match=r"no evaluator|can't stop"):
+            suite.stop_metric(key, categories=among)
+
+
+def test_federated_values_are_the_clients_on_their_test_rows(spark):
+    """Each client scored by hand on its own rows held out, then weighted by their number."""
+    _, ctx = scored_tables(spark)
+    got = {r["key"]: r["value"] for r in suite.report(ctx, ["utility", "privacy"], by_client=True).collect()}
+    with pytest.raises(ValueError, match="test rows"):
+        suite.report(dataclasses.replace(ctx, test=None), ["utility"], by_client=True)
+    auc, hits = [], []
+    for c in (0, 1):
+        test, train = (t.where(F.col("client_id") == c).toPandas() for t in (ctx.test, ctx.train))
+        one = learn.tstr(ctx.columns(ctx.syn), ctx.columns(ctx.test.where(F.col("client_id") == c)), ctx.schema, "y").first()
+        assert one["n"] == len(test)
+        auc.append((one["tstr_auc"], len(test)))
+        syn = ctx.syn.select("x", "w").toPandas().to_numpy()
+        low, width = syn.min(axis=0), np.ptp(syn, axis=0)
+        k = min(len(train), len(test))
+        first = lambda t, k=k: np.array([r[1:] for r in sorted((u01(46, i), x, w) for i, x, w in zip(t["id"], t["x"], t["w"], strict=True))[:k]])
+        far = lambda a, low=low, width=width, syn=syn: np.array([np.sqrt((((p - low) / width - (syn - low) / width) ** 2).sum(axis=1).min()) for p in a])
+        m, o = -far(first(train)), -far(first(test))
+        hits.append((np.mean((m[:, None] > o) + 0.5 * (m[:, None] == o)), k))
+    mean = lambda xs: sum(v * n for v, n in xs) / sum(n for _, n in xs)
+    assert math.isclose(got["utility.tstr_auc"], mean(auc), rel_tol=1e-9) and math.isclose(got["privacy.mia_auc"], mean(hits), rel_tol=1e-9)
+
+
+def u01(seed, key):
+    return int(hashlib.md5(f"{seed}|{key}".encode()).hexdigest()[:8], 16) / 2**32
+
+
+def test_synthesizers(spark):
+    df = spark.range(300).select((F.col("id") % 3).cast("int").alias("client_id"), (F.col("id") * 1.5).alias("x"), (F.col("id") % 40).alias("n"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("c"))
+    schema = TableSchema((ColumnSchema("x", "continuous"), ColumnSchema("c", "binary"), ColumnSchema("n", "integer")))
+    for name, s in synth.SYNTHESIZERS.items():
+        got = s.sample(s.fit(df, schema), schema, 50, 3)
+        assert got.columns == ["x", "c", "n"] and got.count() == 50 and dict(got.dtypes)["n"] == "bigint"
+        if name != "constant":
+            r = got.agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count_distinct("c").alias("c")).first()
+            assert -300 < r["a"] < r["b"] < 900 and r["c"] == 2
+    with pytest.raises(ValueError, match="columns differ"):
+        synth.check_sample(df, schema, 300)
