@@ -18,6 +18,7 @@ import json
 import struct
 import unicodedata
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +40,9 @@ def byte_symbols() -> list[str]:
 
 
 class Encoder:
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, file: str | bytes):
+        """file: a tokenizer file's path, or what stands in it."""
+        spec = json.loads(file if isinstance(file, bytes) else Path(file).read_bytes())
         model = spec["model"]
         self.end = model["end_of_word_suffix"] or ""
         self.ids: dict[str, int] = model["vocab"]
@@ -90,11 +91,11 @@ class Encoder:
         self.fits[a, b] = found = not any([(at := rank.get((x, y))) is not None and at < x_used and at <= y_used for x, x_used in self.edge(a, True) for y, y_used in right])
         return found
 
-    def last_token(self, text: str, path: list[int], end: str) -> tuple[int, int]:
-        """The last token of text + end, and its length; path[i] is the node of the first i symbols."""
-        n, ids, fits, last = len(text), self.ids, self.fits, self.last
+    def last_token(self, text: str, n: int, path: list[int], end: str) -> tuple[int, int]:
+        """The last token of text[:n] + end, and its length; path[i] is the node of the first i symbols."""
+        ids, fits, last = self.ids, self.fits, self.last
         for size in range(1, min(n, self.longest) + 1):  # exactly one fits; most are short
-            t = ids.get(text[n - size :] + end)
+            t = ids.get(text[n - size : n] + end)
             if t is not None and (size == 1 or t in self.parts):
                 if size == n:
                     return t, size
@@ -103,7 +104,7 @@ class Encoder:
                     fit = self.follows(before, t)
                 if fit:
                     return t, size
-        raise ValueError(f"no token ends {text!r}")
+        raise ValueError(f"no token ends {text[:n]!r}")
 
     def walk(self, symbols: str, path: list[int]) -> list[int]:
         """Token ids of one word. path: the nodes of the prefix that it shares with the word before it; gets the rest,
@@ -114,9 +115,9 @@ class Encoder:
             node = child.get(edge)
             if node is None:
                 node = child[edge] = len(last)
-                last.append(self.last_token(symbols[:i], path, "")[0])
+                last.append(self.last_token(symbols, i, path, "")[0])
             path.append(node)
-        t, size = self.last_token(symbols, path, self.end)
+        t, size = self.last_token(symbols, len(symbols), path, self.end)
         out, at = [t], len(symbols) - size
         while at:
             t = last[path[at]]
@@ -187,10 +188,11 @@ def groups(rows: list[str], size: int = GROUP) -> Iterator[list[str]]:
 
 def encode_table(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", full: bool = False) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256), and with full=True also ids and the decoded text."""
+    file = Path(path).read_bytes()  # goes to the executors with the code: they need not have the driver's files
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder(file)
         for batch in batches:
             rows = [r for g in groups(pc.fill_null(batch.column(1), "").to_pylist()) for r in encoder.encode(g)]
             columns = [batch.column(0), pa.array([len(i) // 4 for i, _ in rows], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i, _ in rows]), pa.array([hashlib.sha256(d.encode()).hexdigest() for _, d in rows])]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, texts
-from .repeats import bounded_segments, merged, repeated_segments, spans_by_document
+from .repeats import bounded_segments, merged, one_each, repeated_segments, spans_by_document
 from .wordrepeats import ranges
 
 WINDOW, ANCHOR = 400, 32
@@ -189,12 +189,13 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """(key, n_bytes, n_removed, n_spans, kept): kept has the bytes that stay. most: the bytes of an anchor's different segments,
     beyond which they are cut finer."""
     named = docs.select(F.col(key), F.col(text).alias("text"), F.xxhash64(key, text).alias("doc"))
-    repeated = repeated_segments(named, byte_values, window, anchor, wide=True)
-    repeated, chosen = bounded_segments(named, repeated, byte_values, window, anchor, most)
+    unique = one_each(named)
+    repeated = repeated_segments(unique, byte_values, window, anchor, wide=True)
+    repeated, chosen = bounded_segments(unique, repeated, byte_values, window, anchor, most)
     whole = chosen.where("copies > 1").select("anchor", "digest", F.lit(0).cast("long").alias("first"), (F.col("windows") - 1).cast("long").alias("last"))
     suffixes = chosen.where("others").agg(F.sum("windows")).first()[0] or 0
     shards = shard_count(suffixes, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = merged_shards(front_coded_runs(named, chosen.where("others"), window, shards), window)
+    found = merged_shards(front_coded_runs(unique, chosen.where("others"), window, shards), window)
     spans = spans_by_document(repeated, whole.union(found), window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

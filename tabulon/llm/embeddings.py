@@ -14,7 +14,7 @@ with nothing; a repeated id keeps a row each time; vectors of different lengths
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ from .simhash import local_stars
 COSINE = 0.98
 #: Tables, and how many vectors a bucket should hold.
 TABLES, FILL = 6, 48
+#: So many hashes name a bucket at most.
+MOST_HASHES = 4
 #: Rows of a bucket that are compared at once.
 BLOCK = 512
 SEED = 11
@@ -73,6 +75,7 @@ def codes(x: np.ndarray, tables: int, hashes: int, seed: int = SEED) -> np.ndarr
 
 def unit(vectors: np.ndarray) -> np.ndarray:
     v = vectors.astype(np.float64)
+    v = v / np.abs(v).max(axis=1, keepdims=True)  # first, so that squares of very large or small numbers stay numbers
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -106,35 +109,39 @@ def bucket_links(uid: np.ndarray, x: np.ndarray, code: np.ndarray, copies: np.nd
 def near_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE, tables: int = TABLES) -> DataFrame:
     """(key, n_links, component_id, kept) for every row."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(vector).cast("array<float>").alias("v"))
+    # single precision stays as it is; all else is compared as it is in double precision
+    number = "float" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(vector).cast(f"array<{number}>").alias("v"))
     sound = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
     rows = rows.withColumn("sound", F.coalesce(F.col("label").isNotNull() & F.col("v").isNotNull() & sound, F.lit(False)))
     same = keep(rows.where("sound").groupBy("label", "v").agg(F.min("key").alias("least"), F.count("*").alias("copies")).withColumn("uid", F.monotonically_increasing_id()), "vectors")
-    size = same.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.countDistinct("label").alias("labels")).first()
-    n, width = size["n"], size["width"] or 2
+    # so many hashes name a bucket of a label that it holds about FILL of the label's vectors
+    width = same.agg(F.max(F.size("v")).alias("width")).first()["width"] or 2
     axes = 2 << max(1, (width - 1).bit_length())
-    hashes = min(4, max(1, ceil(log(max(1.0, n / max(1, size["labels"]) / FILL)) / log(axes))))
+    hashes = F.least(F.lit(MOST_HASHES), F.greatest(F.lit(1), F.ceil(F.log(F.col("n") / FILL) / log(axes)))).cast("int").alias("hashes")
+    by_label = same.groupBy("label").agg(F.count("*").alias("n")).select("label", hashes)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                vs = part.column(3).to_pylist()
-                code = np.zeros((len(vs), tables, 1 + hashes), dtype=np.int64)
-                for w in {len(v) for v in vs}:
-                    mine = [i for i, v in enumerate(vs) if len(v) == w]
-                    code[mine] = codes(unit(np.array([vs[i] for i in mine], dtype=np.float32)), tables, hashes) * 4096 + w
-                times = tables * (1 + hashes)
-                pick = pa.array(np.repeat(np.arange(len(vs)), times))
-                flat = code.reshape(len(vs), -1)
-                yield pa.RecordBatch.from_arrays([
-                    *(part.column(i).take(pick) for i in range(4)), pa.array(list(np.repeat(flat, times, axis=0)), pa.list_(pa.int64())),
-                    pa.array(np.tile(np.repeat(np.arange(tables), 1 + hashes), len(vs)).astype(np.int32)), pa.array(np.tile(np.arange(1 + hashes), tables * len(vs)).astype(np.int32)), pa.array(flat.ravel()),
-                ], names=["label", "uid", "copies", "v", "codes", "tab", "probe", "bucket"])
+                vs, of = part.column(3).to_pylist(), part.column(4).to_numpy()
+                for h in np.unique(of):
+                    rows_ = np.flatnonzero(of == h)
+                    code = np.zeros((len(rows_), tables, 1 + h), dtype=np.int64)
+                    for w in {len(vs[i]) for i in rows_}:
+                        mine = np.flatnonzero([len(vs[i]) == w for i in rows_])
+                        code[mine] = codes(unit(np.array([vs[rows_[i]] for i in mine])), tables, h) * 4096 + w
+                    pick = pa.array(np.repeat(rows_, tables * (1 + h)))
+                    flat = code.reshape(len(rows_), -1)
+                    yield pa.RecordBatch.from_arrays([
+                        *(part.column(i).take(pick) for i in range(4)), pa.array(list(np.repeat(flat, tables * (1 + h), axis=0)), pa.list_(pa.int64())),
+                        pa.array(np.tile(np.repeat(np.arange(tables), 1 + h), len(rows_)).astype(np.int32)), pa.array(np.tile(np.arange(1 + h), tables * len(rows_)).astype(np.int32)), pa.array(flat.ravel()),
+                    ], names=["label", "uid", "copies", "v", "codes", "tab", "probe", "bucket"])
 
     where = ["label", "tab", "bucket"]
     label_type = same.schema["label"].dataType.simpleString()
-    placed = same.select("label", "uid", "copies", "v").mapInArrow(spread, f"label {label_type}, uid long, copies long, v array<float>, codes array<long>, tab int, probe int, bucket long")
+    placed = same.join(by_label, "label").select("label", "uid", "copies", "v", "hashes").mapInArrow(spread, f"label {label_type}, uid long, copies long, v array<{number}>, codes array<long>, tab int, probe int, bucket long")
     full = keep(placed.groupBy(*where).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select(*where, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "vector-buckets")
     placed = join_small(placed, full, where, how="left", copies=1).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("uid", "probe"), F.col("blocks")).cast("int"))
@@ -152,7 +159,7 @@ def near_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embe
             if len(held) < 2:
                 return None
             uid, copies, x, code, probe, block = (np.array([h[i] for h in held]) for i in range(6))
-            out = bucket_links(uid, unit(x), code.reshape(len(held), tables, 1 + hashes), copies, now[1], probe, block, now[3:], limit)
+            out = bucket_links(uid, unit(x), code.reshape(len(held), tables, -1), copies, now[1], probe, block, now[3:], limit)
             return pa.RecordBatch.from_arrays([pa.array(o) for o in out], names=["uid", "near", "links"]) if len(out[0]) else None
 
         for batch in batches:
@@ -165,7 +172,7 @@ def near_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embe
                     if got := done():
                         yield got
                     held, now = [], k
-                held.append((uid[r], copies[r], np.array(x[r], dtype=np.float32), code[r], probe[r], block[r]))
+                held.append((uid[r], copies[r], np.array(x[r]), code[r], probe[r], block[r]))
         if now and (got := done()):
             yield got
 

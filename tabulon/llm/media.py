@@ -1,10 +1,11 @@
 """Media columns whose payloads are stored once: content-defined chunks, joined by digest.
 
 A text's bytes are padded and stored as the samples of an 8-bit mono WAV file. A rolling gear hash cuts the file where
-its bits say so, wherever that content stands, so that files share chunks. Chunk digests are counted by Spark; a digest
-that several chunks have is owned by one of them, which keeps the bytes in the chunk store, and the others keep a
-reference. Reading back joins references with the store, puts the ordered chunk list together and verifies each
-chunk and the file by their digests before the samples are looked at.
+its bits say so, wherever that content stands, so that files share chunks. Chunk digests are counted by Spark. A chunk
+whose digest stands once stays in its document's list; of the others, documents keep the digest, and the chunk store,
+a table of its own, keeps the bytes once (a task hands over each of its shared chunks once, and one of those stays).
+Reading back joins digests with the store, puts the ordered chunk list together and verifies each chunk and the file by
+their digests before the samples are looked at.
 
 Defined results: null and blank texts are one block of zeros; equal texts have equal values; an empty table gives none.
 """
@@ -22,13 +23,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, keep, mixed, texts
+from .common import documents, join_small, keep, mixed, texts
 
 BLOCK = 64
 #: Chunk sizes: none below the least but the last, none above the most, about the mean.
 LEAST, MEAN_BITS, MOST = 512, 11, 8192
 #: So many shared digests (16 bytes each) may be broadcast.
 MOST_SHARED = 2_000_000
+#: So many chunks of the store (8 kB each at most, a quarter of that on average) may be broadcast.
+MOST_CHUNKS = 8_000
 GEAR = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -202,8 +205,9 @@ def read_back(table: DataFrame, key: str) -> DataFrame:
     pieces = table.where(F.col("is_row") & refers).select("row_id", key, F.posexplode("chunks").alias("place", "c")).select("row_id", key, "place", "c.digest", "c.data")
     pieces = pieces.mapInArrow(packed, f"row_id long, {key} {key_type}, place int, digest binary, data binary")
     shared = table.where(~F.col("is_row")).select(F.explode("chunks").alias("c")).select("c.digest", "c.data").mapInArrow(packed, "digest binary, data binary")
-    shared = shared.dropDuplicates(["digest"]).withColumnRenamed("data", "stored")
-    fetched = pieces.where("data IS NULL").drop("data").join(shared, "digest", "left").select("row_id", key, "place", "digest", F.col("stored").alias("data"))
+    shared = keep(shared.dropDuplicates(["digest"]).withColumnRenamed("data", "stored"), "media-chunks")
+    # a chunk that very many documents share is spread over salts
+    fetched = join_small(pieces.where("data IS NULL").drop("data"), shared, ["digest"], F.xxhash64("row_id", "place"), how="left", limit=MOST_CHUNKS, copies=16).select("row_id", key, "place", "digest", F.col("stored").alias("data"))
     ordered = pieces.where("data IS NOT NULL").union(fetched).repartition(n, "row_id").sortWithinPartitions("row_id", "place")
     return direct.union(ordered.mapInArrow(in_order, types))
 

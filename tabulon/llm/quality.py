@@ -4,7 +4,7 @@ Statistics of the whole text (shares of kinds of characters, word lengths, repet
 are transformed towards normal shapes. Each class of the labels gets a mean and a covariance, shrunk towards
 its diagonal and the pooled covariance; a document's score is the logistic function of the difference of
 the two log densities, which are Mahalanobis distances by Cholesky factors that are worked out once.
-The sums that the classes need are Spark aggregates over all labelled rows; copies count once.
+The sums that the classes need are Spark aggregates over all labelled rows.
 
 Defined results: null and blank texts have the statistics of an empty text and get a score like any other;
 without labels of both classes every score is 0.5; repeated rows repeat; rows labelled twice count twice.
@@ -143,9 +143,9 @@ def fold(key: Column, n: int, held: int) -> Column:
 
 
 def training(stats: DataFrame, marks: DataFrame, key: str, label: str) -> DataFrame:
-    """Statistics and label of the labelled rows that are not held out; equal ones once."""
+    """Statistics and label of the labelled rows that are not held out."""
     marked = marks.select(F.col(key), F.col(label).cast("int").alias("__label"))
-    return join_small(stats.where(~fold(F.col(key), 5, 0)), marked, [key], limit=1_000_000, copies=1).select("__label", *NAMES).distinct()
+    return join_small(stats.where(~fold(F.col(key), 5, 0)), marked, [key], limit=1_000_000, copies=1).select("__label", *NAMES)
 
 
 def keep_good(docs: DataFrame, marks: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:

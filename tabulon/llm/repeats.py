@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_groups, keep, mixed, powers, text_bytes
+from .common import byte_groups, join_small, keep, mixed, powers, text_bytes
 
 #: Tokens of a long text are looked at in blocks of so many, which overlap by a window.
 BLOCK_TOKENS = 1 << 21
@@ -88,15 +88,33 @@ def blocks_of(bounds: np.ndarray, window: int, size: int = BLOCK_TOKENS) -> Iter
             row = last
 
 
+def one_each(rows: DataFrame) -> DataFrame:
+    """(doc, copies, text): rows repeated in full as one, with their number. rows: doc (a 64-bit name of key and text), text."""
+    again = keep(rows.groupBy("doc").agg(F.count("*").alias("copies")).where("copies > 1"), "rows-repeated")
+    if again.isEmpty():
+        return rows.select("doc", F.lit(1).cast("long").alias("copies"), "text")
+    marked = join_small(rows.select("doc", "text"), again, ["doc"], how="left", limit=1_000_000, copies=1)
+    few = marked.where("copies IS NOT NULL").groupBy("doc").agg(F.first("copies").alias("copies"), F.first("text").alias("text"))
+    return marked.where("copies IS NULL").select("doc", F.lit(1).cast("long").alias("copies"), "text").union(few)
+
+
+SEGMENT = "anchor long, digest long, doc long, copies long, at long, windows int"
+
+
+def segment_batch(anchor: np.ndarray, digest: np.ndarray, doc: np.ndarray, copies: np.ndarray, at: np.ndarray, windows: np.ndarray) -> pa.RecordBatch:
+    columns = [anchor.view(np.int64), digest.view(np.int64), doc, copies, at, windows.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "digest", "doc", "copies", "at", "windows"])
+
+
 def segment_table(docs: DataFrame, tokenize: Callable, window: int, k: int, wide: bool = False) -> DataFrame:
-    """(anchor, digest, doc, at, windows) of all segments. docs: doc (a 64-bit name), text. tokenize(data, bounds): token
+    """(anchor, digest, doc, copies, at, windows) of all segments. docs: as one_each gives them. tokenize(data, bounds): token
     values and bounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pows = powers(1 << 16)
         for batch in batches:
-            data, bounds = text_bytes(batch.column(1))
-            names = batch.column(0).to_numpy()
+            data, bounds = text_bytes(batch.column(2))
+            names, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for a, b in byte_groups(bounds):
                 tokens, own = tokenize(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
                 for starts, ends, rows in blocks_of(own, window):
@@ -104,16 +122,16 @@ def segment_table(docs: DataFrame, tokenize: Callable, window: int, k: int, wide
                         pows = powers(int(ends[-1] - starts[0]) + (1 << 16))
                     text, at, count, anchor, digest = segments(tokens[starts[0] : ends[-1]], np.append(starts, ends[-1]) - starts[0], window, k, pows, wide)
                     at = at + (starts - own[rows])[text]
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(names[a + rows[text]]), pa.array(at), pa.array(count.astype(np.int32))], names=["anchor", "digest", "doc", "at", "windows"])
+                    yield segment_batch(anchor, digest, names[a + rows[text]], copies[a + rows[text]], at, count)
 
-    return docs.select("doc", "text").mapInArrow(run, "anchor long, digest long, doc long, at long, windows int")
+    return docs.select("doc", "copies", "text").mapInArrow(run, SEGMENT)
 
 
 def repeated_segments(docs: DataFrame, tokenize: Callable, window: int, k: int, wide: bool = False) -> DataFrame:
     """The segments whose anchor stands more than once, written."""
     found = segment_table(docs, tokenize, window, k, wide)
     # written first: a join of two plain exchanges is one whose large partitions Spark splits
-    often = keep(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
+    often = keep(found.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor"), "anchors")
     return keep(found.join(often, "anchor"), "segments")
 
 
@@ -124,8 +142,8 @@ def finer_segments(docs: DataFrame, hot: DataFrame, tokenize: Callable, window:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, bounds = text_bytes(batch.column(1))
-            names, wanted = batch.column(0).to_numpy(), batch.column(2)
+            data, bounds = text_bytes(batch.column(2))
+            names, copies, wanted = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
             for a, b in byte_groups(bounds):
                 tokens, own = tokenize(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
                 lists = wanted.slice(a, b - a)
@@ -140,9 +158,9 @@ def finer_segments(docs: DataFrame, hot: DataFrame, tokenize: Callable, window:
                     if len(mine):
                         which, begin, n, name, digest = pieces(tokens[low:high], start[mine] - low, count[mine], window, k, width)
                         text = row[mine[which]]
-                        yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(names[a + text]), pa.array(begin + low - own[text]), pa.array(n.astype(np.int32))], names=["anchor", "digest", "doc", "at", "windows"])
+                        yield segment_batch(name, digest, names[a + text], copies[a + text], begin + low - own[text], n)
 
-    return docs.join(per, "doc").select("doc", "text", "wanted").mapInArrow(run, "anchor long, digest long, doc long, at long, windows int")
+    return docs.join(per, "doc").select("doc", "copies", "text", "wanted").mapInArrow(run, SEGMENT)
 
 
 def pieces(tokens: np.ndarray, start: np.ndarray, count: np.ndarray, window: int, k: int, width: int) -> tuple[np.ndarray, ...]:
@@ -185,14 +203,14 @@ def bounded_segments(docs: DataFrame, repeated: DataFrame, tokenize: Callable, w
         width = (width + 1) // 2
         found = finer_segments(docs, repeated.join(F.broadcast(hot), "anchor", "left_semi"), tokenize, window, k, width)
         found = keep(found, "segments-finer")
-        often = keep(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
+        often = keep(found.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor"), "anchors")
         repeated = keep(found.join(often, "anchor"), "segments")
 
 
 def distinct_segments(repeated: DataFrame) -> DataFrame:
     """(anchor, digest, copies, doc, at, windows, others): equal segments as one, of one of the documents that hold it; others:
     whether its anchor also has different segments."""
-    one = repeated.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "at", "windows")).alias("one"))
+    one = repeated.groupBy("anchor", "digest").agg(F.sum("copies").alias("copies"), F.min(F.struct("doc", "at", "windows")).alias("one"))
     one = keep(one.select("anchor", "digest", "copies", "one.*"), "segments-distinct")
     mixed_up = one.groupBy("anchor").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a < b").select("anchor", F.lit(True).alias("others"))
     return one.join(mixed_up, "anchor", "left").withColumn("others", F.coalesce("others", F.lit(False)))

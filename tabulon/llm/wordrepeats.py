@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, powers, span_hashes, texts, word_spans
-from .repeats import bounded_segments, merged, repeated_segments, spans_by_document
+from .repeats import bounded_segments, merged, one_each, repeated_segments, spans_by_document
 
 WINDOW, ANCHOR = 35, 8
 #: A shard's segments are indexed in groups of about so many words; those of one anchor
@@ -190,10 +190,10 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """(key, n_words, n_removed, kept): kept has the words that stay, joined by single spaces. most: the words of an anchor's
     different segments, beyond which they are cut finer."""
     named = docs.select(F.col(key), F.col(text).alias("text"), F.xxhash64(key, text).alias("doc"))
-    repeated = repeated_segments(named, word_values, window, anchor)
-    repeated, chosen = bounded_segments(named, repeated, word_values, window, anchor, most)
-    # rows repeated in full give a segment twice; all its windows repeat anyway
-    found = search_shards(cut_parts(named, chosen, window), window)
+    unique = one_each(named)
+    repeated = repeated_segments(unique, word_values, window, anchor)
+    repeated, chosen = bounded_segments(unique, repeated, word_values, window, anchor, most)
+    found = search_shards(cut_parts(unique, chosen, window), window)
     spans = spans_by_document(repeated, found, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -87,7 +87,7 @@ def notices(window):
 def test_hot_anchor_of_words_is_cut(spark, window, k):
     data = notices(window)
     docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
-    named = docs.selectExpr("text", "xxhash64(doc_id, text) AS doc")
+    named = repeats.one_each(docs.selectExpr("text", "xxhash64(doc_id, text) AS doc"))
     found = repeats.repeated_segments(named, wordrepeats.word_values, window, k)
     _, chosen = repeats.bounded_segments(named, found, wordrepeats.word_values, window, k, 300)
     sizes = {r["anchor"]: r["n"] for r in chosen.groupBy("anchor").agg(F.sum(F.col("windows") + window - 1).alias("n")).collect()}
@@ -103,7 +103,7 @@ def test_hot_anchor_of_words_is_cut(spark, window, k):
 def test_hot_anchor_of_bytes_is_cut(spark, window, k):
     data = notices(window // 10)
     docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
-    named = docs.selectExpr("text", "xxhash64(doc_id, text) AS doc")
+    named = repeats.one_each(docs.selectExpr("text", "xxhash64(doc_id, text) AS doc"))
     found = repeats.repeated_segments(named, byterepeats.byte_values, window, k, wide=True)
     _, chosen = repeats.bounded_segments(named, found, byterepeats.byte_values, window, k, 3000)
     assert max(r["n"] for r in chosen.groupBy("anchor").agg(F.sum(F.col("windows") + window - 1).alias("n")).collect()) <= 3000
@@ -115,3 +115,17 @@ def test_hot_anchor_of_bytes_is_cut(spark, window, k):
 
 def test_shards_have_a_bounded_share():
     assert byterepeats.shard_count(0, 4) == 8 and byterepeats.shard_count(10**9 + 1, 4) == 1001
+
+
+def test_rows_repeated_in_full_cost_as_much_as_one(spark):
+    """Many rows of one id and text, of which one other document has a part."""
+    rng = random.Random(3)
+    words = [f"u{rng.randrange(10**9)}" for _ in range(120)]
+    data = [(1, " ".join(words))] * 3000 + [(2, " ".join(words[40:90] + words[:20]))]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    segments = repeats.segment_table(repeats.one_each(docs.selectExpr("text", "xxhash64(doc_id, text) AS doc")), wordrepeats.word_values, 35, 8)
+    assert segments.count() < 40
+    got = wordrepeats.remove_repeats(docs).groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("n_removed").alias("a"), F.max("n_removed").alias("b")).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(1, 3000, 120, 120), (2, 1, 50, 50)]
+    got = byterepeats.remove_repeats(docs, window=60, anchor=16).groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("n_removed").alias("a"), F.max("n_removed").alias("b")).orderBy("doc_id").collect()
+    assert got[0]["rows"] == 3000 and got[0]["a"] == got[0]["b"] == len(data[0][1]) and got[1]["a"] > 0
