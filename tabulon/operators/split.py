@@ -9,22 +9,25 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import hash_u01
-from ..functions.tables import row_index
+from ..functions.exprs import category, hash_u01
+from ..functions.tables import as_of, cut_at, melt, row_index, running_sums
 
 
 def holdout_split(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
-    """split: 'holdout' for exactly ceil(share * n) rows by their hash, else 'train'."""
-    n = df.count()
-    u = hash_u01(seed, F.col(key))
-    return row_index(df.withColumn("u", u), [F.col("u"), F.col(key)]).withColumn("split", F.when(F.col("idx") < math.ceil(share * n), "holdout").otherwise("train")).drop("u", "idx")
+    """split: 'holdout' for exactly ceil(share * n) rows by their hash, else 'train'. key: a column that tells rows apart."""
+    reached = cut_at(df, [hash_u01(seed, F.col(key)), F.col(key)], [math.ceil(share * df.count())])
+    return df.withColumn("split", F.when(reached > 0, "train").otherwise("holdout"))
 
 
 def client_split(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
-    """split: 'test' for ceil(share * n) rows of each client, else 'train'."""
-    numbered = row_index(df.withColumn("u", hash_u01(seed, F.col(key))), [F.col("u"), F.col(key)], ["client_id"])
-    counts = df.groupBy("client_id").agg(F.count("*").alias("n"))
-    return numbered.join(counts, "client_id").withColumn("split", F.when(F.col("idx") < F.ceil(F.lit(share) * F.col("n")), "test").otherwise("train")).drop("u", "idx", "n")
+    """split: 'test' for ceil(share * n) rows of each client, else 'train'. Rows without a client are split like those of one. Only keys
+    are sorted; a row meets its client's cut, of which there is one a client."""
+    place = F.struct(hash_u01(seed, F.col(key)).alias("u"), F.col(key).alias("k"))
+    numbered = row_index(df.select(F.col("client_id").alias("__client"), place.alias("__cut")), [F.col("__cut")], ["__client"])
+    counts = df.groupBy(F.col("client_id").alias("__c")).agg(F.count("*").alias("__n"))
+    cuts = numbered.join(counts, F.col("__client").eqNullSafe(F.col("__c"))).where(F.col("idx") == F.ceil(F.lit(share) * F.col("__n"))).select("__client", "__cut")
+    found = df.join(cuts, F.col("client_id").eqNullSafe(F.col("__client")), "left")
+    return found.withColumn("split", F.when(place >= F.col("__cut"), "train").otherwise("test")).drop("__client", "__cut")
 
 
 def all_train(df: DataFrame) -> DataFrame:
@@ -36,37 +39,44 @@ def sample_rows(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     return df.withColumn("u", hash_u01(seed, F.col(key))).orderBy("u", key).limit(k).drop("u")
 
 
-def draw_category(u: Column, shares: Column, names: Column) -> Column:
-    """The category at u in a cumulative distribution: the first whose cumulated share exceeds u."""
-    past = F.size(F.filter(shares, lambda c: c <= u))
-    return F.element_at(names, F.least(past + 1, F.size(names)))
-
-
 def category_weights(df: DataFrame, cols: Sequence[str], log: bool = True) -> DataFrame:
     """(column, category, n, weight): ln(n + 1), or n, as a share of its column."""
-    from ..functions.exprs import category
-    from ..functions.tables import melt
-
     counts = melt(df, cols, convert=category).groupBy("column", F.col("value").alias("category")).agg(F.count("*").alias("n"))
-    weight = F.ln(F.col("n") + 1.0) if log else F.col("n").cast("double")
-    return counts.withColumn("weight", weight / F.sum(weight).over(Window.partitionBy("column")))
+    counts = counts.withColumn("w", F.ln(F.col("n") + 1.0) if log else F.col("n").cast("double"))
+    totals = counts.groupBy("column").agg(F.sum("w").alias("all"))  # a row a column
+    return counts.join(F.broadcast(totals), "column").select("column", "category", "n", (F.col("w") / F.col("all")).alias("weight"))
+
+
+#: Categories of all columns up to which they are sent to each task as one array a column.
+FEW = 200
+
 
+def draw(asked: DataFrame, weights: DataFrame, carry: Sequence[str] = ("category",), few: int = FEW) -> DataFrame:
+    """asked with the carry columns of the category that each row draws. asked: (..., column, u), u from 0 to below 1; weights: (column,
+    category, weight, ...). The categories of a column stand in order, each as long as its weight, and u falls into one.
 
-def balanced_resample(df: DataFrame, key: str, cols: Sequence[str], n: int, seed: int) -> DataFrame:
+    Where there are more than `few` categories (they are counted first), the draws are joined with the categories' bounds in ranges of
+    both: no row, task or array holds a column's categories."""
+    bounds = weights.where("weight > 0").select("column", "weight", "category", *[c for c in carry if c != "category"])
+    if bounds.limit(few + 1).count() <= few:
+        upto = Window.partitionBy("column").orderBy("category").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        table = bounds.withColumn("c", F.sum("weight").over(upto)).withColumn("c", F.col("c") / F.sum("weight").over(Window.partitionBy("column")))
+        table = table.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("c", *carry))).alias("__t"))
+        found = F.element_at("__t", F.least(F.size(F.filter("__t", lambda x: x["c"] <= F.col("u"))) + 1, F.size("__t")))
+        return asked.join(F.broadcast(table), "column").withColumn("__t", found).select(*[f"`{c}`" for c in asked.columns], *[F.col("__t")[c].alias(c) for c in carry])
+    placed = running_sums(bounds, ["weight"], ["column"], ["category"]).withColumn("u", F.col("weight_before") / F.col("weight_all"))
+    return as_of(placed.select("column", "u", *carry), asked, ["column"], "u", carry)
+
+
+def balanced_resample(df: DataFrame, key: str, cols: Sequence[str], n: int, seed: int, few: int = FEW) -> DataFrame:
     """(slot, column, category, key): for each of n slots a column by chance, a category of it by log-frequency, and a row with
     that category by chance. Rows are numbered within their category, and slots join them by number."""
-    from ..functions.exprs import category
-    from ..functions.tables import melt
-
     spark = df.sparkSession
     names = F.array(*map(F.lit, cols))
     weights = category_weights(df, cols)
-    upto = Window.partitionBy("column").orderBy("category").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    table = weights.select("column", "category", "n", F.sum("weight").over(upto).alias("c")).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("c", "category", "n"))).alias("t"))
-    slots = spark.range(n).select(F.col("id").alias("slot"), hash_u01(seed, F.col("id")).alias("u1"), hash_u01(seed + 1, F.col("id")).alias("u2"), hash_u01(seed + 2, F.col("id")).alias("u3"))
-    slots = slots.withColumn("column", F.element_at(names, F.floor(F.col("u1") * len(cols)).cast("int") + 1)).join(table, "column")
-    pick = F.element_at("t", F.least(F.size(F.filter("t", lambda x: x["c"] <= F.col("u2"))) + 1, F.size("t")))
-    slots = slots.select("slot", "column", "u3", pick.alias("p")).select("slot", "column", "p.category", F.floor(F.col("u3") * F.col("p.n")).cast("long").alias("number"))
+    slots = spark.range(n).select(F.col("id").alias("slot"), hash_u01(seed, F.col("id")).alias("u1"), hash_u01(seed + 1, F.col("id")).alias("u"), hash_u01(seed + 2, F.col("id")).alias("u3"))
+    slots = slots.withColumn("column", F.element_at(names, F.floor(F.col("u1") * len(cols)).cast("int") + 1)).drop("u1")
+    slots = draw(slots, weights, ["category", "n"], few).select("slot", "column", "category", F.floor(F.col("u3") * F.col("n")).cast("long").alias("number"))
     rows = melt(df, cols, [key], convert=category).withColumnRenamed("value", "category").withColumn("h", hash_u01(seed + 3, F.col(key)))
     numbered = row_index(rows, [F.col("h"), F.col(key)], ["column", "category"], "number")
     return slots.join(numbered.select("column", "category", "number", key), ["column", "category", "number"]).select("slot", "column", "category", key)
@@ -75,14 +85,9 @@ def balanced_resample(df: DataFrame, key: str, cols: Sequence[str], n: int, seed
 # ---- client partitioners: df -> df with client_id
 
 
-def _hashed(df: DataFrame, key: str, seed: int) -> DataFrame:
-    u = hash_u01(seed, F.col(key))
-    return row_index(df.withColumn("__u", u), [F.col("__u"), F.col(key)]).drop("__u")
-
-
-def _by_bounds(idx: Column, bounds: Sequence[int]) -> Column:
-    """The client whose block an index falls into; bounds: where each block but the last ends."""
-    return F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]).cast("array<bigint>"), lambda b: b <= idx)).cast("int")
+def _dealt(df: DataFrame, order: Sequence[Column], bounds: Sequence[int]) -> DataFrame:
+    """df with client_id, by blocks of an order; bounds: where each block but the last ends."""
+    return df.withColumn("client_id", cut_at(df, order, bounds))
 
 
 def equal_blocks(n: int, clients: int) -> list[int]:
@@ -98,13 +103,12 @@ def sized_blocks(n: int, weights: Sequence[float]) -> list[int]:
 
 
 def part_iid(df: DataFrame, clients: int, key: str, seed: int) -> DataFrame:
-    return _hashed(df, key, seed).withColumn("client_id", _by_bounds(F.col("idx"), equal_blocks(df.count(), clients))).drop("idx")
+    return _dealt(df, [hash_u01(seed, F.col(key)), F.col(key)], equal_blocks(df.count(), clients))
 
 
 def part_sized(df: DataFrame, clients: int, key: str, seed: int, size: Callable[[int], float]) -> DataFrame:
     """Clients with sizes in proportion to size(i)."""
-    bounds = sized_blocks(df.count(), [size(i) for i in range(clients)])
-    return _hashed(df, key, seed).withColumn("client_id", _by_bounds(F.col("idx"), bounds)).drop("idx")
+    return _dealt(df, [hash_u01(seed, F.col(key)), F.col(key)], sized_blocks(df.count(), [size(i) for i in range(clients)]))
 
 
 def part_linear(df, clients, key, seed):
@@ -120,12 +124,13 @@ def part_exponential(df, clients, key, seed):
 
 
 def part_proportions(df: DataFrame, label: str, key: str, seed: int, proportions: dict[str, Sequence[float]]) -> DataFrame:
-    """Rows of each class dealt in blocks by that class's proportions over the clients."""
+    """Rows of each class dealt in blocks by that class's proportions over the clients; those without a class are the class '__NA__'. A
+    class without proportions is left out."""
     numbered = row_index(df.withColumn("__u", hash_u01(seed, F.col(key))), [F.col("__u"), F.col(key)], [label])
-    counts = df.groupBy(label).agg(F.count("*").alias("__n"))
     spark = df.sparkSession
+    counts = df.groupBy(category(F.col(label)).alias("__class")).agg(F.count("*").alias("__n"))
     cut = spark.createDataFrame([(k, np.cumsum(np.array(p) / sum(p))[:-1].tolist()) for k, p in proportions.items()], "__class string, __cut array<double>")
-    rows = numbered.join(counts, label).join(cut, F.col(label).cast("string") == F.col("__class"))
+    rows = numbered.withColumn("__class", category(F.col(label))).join(counts.join(cut, "__class"), "__class")
     return rows.withColumn("client_id", F.size(F.filter("__cut", lambda c: F.floor(c * F.col("__n")) <= F.col("idx"))).cast("int")).drop("idx", "__n", "__cut", "__class", "__u")
 
 
@@ -147,7 +152,7 @@ def dirichlet_shares(counts: dict[str, int], clients: int, alpha: float, seed: i
 def part_dirichlet(df: DataFrame, clients: int, label: str, key: str, seed: int, alpha: float = 0.5, least: int = 10, tries: int = 20, self_balancing: bool = False) -> DataFrame:
     """Label skew: each class's proportions come from a Dirichlet distribution; drawn anew until no client has fewer rows than
     `least`. Only one number a class comes to the driver."""
-    counts = {str(r[0]): r[1] for r in df.groupBy(label).agg(F.count("*")).collect()}
+    counts = {r[0]: r[1] for r in df.groupBy(category(F.col(label))).agg(F.count("*")).collect()}
     for t in range(tries):
         out = part_proportions(df, label, key, seed, dirichlet_shares(counts, clients, alpha, seed + t, self_balancing))
         sizes = [r["count"] for r in out.groupBy("client_id").count().collect()]
@@ -181,11 +186,11 @@ def class_owners(classes: Sequence[str], clients: int, each: int, mode: str = "d
 def part_pathological(df: DataFrame, clients: int, label: str, key: str, seed: int, classes_each: int = 2, mode: str = "deterministic") -> DataFrame:
     """Each client owns `classes_each` classes; a class's rows are dealt to its owners in equal blocks, and a class that nobody
     owns is left out."""
-    owners = class_owners(sorted(str(r[0]) for r in df.select(label).distinct().collect()), clients, classes_each, mode, seed)
+    owners = class_owners(sorted(r[0] for r in df.select(category(F.col(label))).distinct().collect()), clients, classes_each, mode, seed)
     numbered = row_index(df.withColumn("__u", hash_u01(seed, F.col(key))), [F.col("__u"), F.col(key)], [label])
-    counts = df.groupBy(label).agg(F.count("*").alias("__n"))
+    counts = df.groupBy(category(F.col(label)).alias("__class")).agg(F.count("*").alias("__n"))
     table = df.sparkSession.createDataFrame([(c, o) for c, o in owners.items() if o], "__class string, __owners array<int>")
-    rows = numbered.join(counts, label).join(table, F.col(label).cast("string") == F.col("__class"))
+    rows = numbered.withColumn("__class", category(F.col(label))).join(counts.join(table, "__class"), "__class")
     turn = F.floor(F.col("idx") * F.size("__owners") / F.col("__n")).cast("int")
     return rows.withColumn("client_id", F.element_at("__owners", turn + 1)).drop("idx", "__n", "__owners", "__class", "__u")
 
@@ -204,14 +209,11 @@ def part_shard(df: DataFrame, clients: int, label: str, key: str, seed: int, sha
         if shards_each is not None and total < clients * shards_each:
             raise ValueError(f"{total} shards are too few for {clients} clients")
     dealt = total if shards_each is None else clients * shards_each
-    # classes are few: the place of a class comes from their counts, the place within it from the row number
-    numbered = row_index(df, [F.col(key)], [label])
-    before = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = df.groupBy(label).agg(F.count("*").alias("__n")).select(label, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    rows = numbered.join(offsets, label).withColumn("__shard", F.floor((F.col("__before") + F.col("idx")) / size).cast("long"))
-    deal = df.sparkSession.range(total).select(F.col("id").alias("__shard"), (F.row_number().over(Window.orderBy(hash_u01(seed, F.col("id")), "id")) - 1).alias("__turn"))
-    deal = deal.where(F.col("__turn") < dealt)
-    return rows.join(F.broadcast(deal), "__shard").withColumn("client_id", (F.col("__turn") % clients).cast("int")).drop("idx", "__before", "__shard", "__turn")
+    numbered = row_index(df, [F.col(label), F.col(key)], name="__idx").withColumn("__shard", F.floor(F.col("__idx") / size).cast("long"))
+    spark = df.sparkSession
+    shards = spark.range(total).select(F.col("id").alias("__shard"), hash_u01(seed, F.col("id")).alias("__u"))
+    deal = row_index(shards, [F.col("__u"), F.col("__shard")], name="__turn").where(F.col("__turn") < dealt).select("__shard", "__turn")
+    return numbered.join(deal, "__shard").withColumn("client_id", (F.col("__turn") % clients).cast("int")).drop("__idx", "__shard", "__turn")
 
 
 def part_continuous(df: DataFrame, clients: int, column: str, key: str, seed: int, strictness: float = 0.5) -> DataFrame:
@@ -219,5 +221,4 @@ def part_continuous(df: DataFrame, clients: int, column: str, key: str, seed: in
     s = df.agg(F.avg(column).alias("m"), F.stddev_pop(column).alias("s"), F.count("*").alias("n")).first()
     z = (F.col(column) - F.lit(s["m"])) / F.lit(s["s"] or 1.0)
     score = F.lit(strictness) * z + F.lit(1 - strictness) * (hash_u01(seed, F.col(key)) * 2 - 1)
-    ranked = row_index(df.withColumn("__score", score), [F.round("__score", 9), F.col(key)])
-    return ranked.withColumn("client_id", _by_bounds(F.col("idx"), equal_blocks(s["n"], clients))).drop("idx", "__score")
+    return _dealt(df, [F.round(score, 9), F.col(key)], equal_blocks(s["n"], clients))

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from ..functions.exprs import hash_u01, number
 from ..functions.schema import ColumnSchema, TableSchema
 from ..functions.tables import melt, quantiles
+from ..sources.scratch import kept
+from ..streaming.monitor import EarlyStop
 from .encode import mixture_start, responsibilities
-from .split import category_weights, draw_category
+from . import copula, rounds
+from .split import FEW, category_weights, draw
 
 
 def row_count(configured: int | None, holdout: DataFrame) -> int:
@@ -46,7 +49,7 @@ def fit_marginals(df: DataFrame, numeric: Sequence[str], nominal: Sequence[str])
     return grids, category_weights(df, nominal, log=False)
 
 
-def marginal_rows(grids: DataFrame, shares: DataFrame, n: int, seed: int) -> DataFrame:
+def marginal_rows(grids: DataFrame, shares: DataFrame, n: int, seed: int, few: int = FEW) -> DataFrame:
     """(id, column, number, category): each column drawn from its own distribution; pivot by column for a wide table. Column
     seeds come from the columns' names."""
     spark = grids.sparkSession
@@ -55,9 +58,8 @@ def marginal_rows(grids: DataFrame, shares: DataFrame, n: int, seed: int) -> Dat
     num = ids.crossJoin(F.broadcast(grids)).withColumn("at", u() * (len(GRID) - 1)).withColumn("i", F.least(F.floor("at").cast("int"), F.lit(len(GRID) - 2)))
     low, high = F.element_at("grid", F.col("i") + 1), F.element_at("grid", F.col("i") + 2)
     num = num.select("id", "column", (low + (high - low) * (F.col("at") - F.col("i"))).alias("number"), F.lit(None).cast("string").alias("category"))
-    upto = Window.partitionBy("column").orderBy("category").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    table = shares.select("column", "category", F.sum("weight").over(upto).alias("c")).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("c", "category"))).alias("t"))
-    cat = ids.crossJoin(F.broadcast(table)).select("id", "column", F.lit(None).cast("double").alias("number"), draw_category(u(), F.col("t.c"), F.col("t.category")).alias("category"))
+    asked = ids.crossJoin(F.broadcast(shares.select("column").distinct())).withColumn("u", u())  # a row a column
+    cat = draw(asked, shares, few=few).select("id", "column", F.lit(None).cast("double").alias("number"), "category")
     return num.union(cat)
 
 
@@ -169,6 +171,26 @@ def _draw_mixture(state: dict, schema: TableSchema, n: int, seed: int) -> DataFr
     return _wide(schema, mixture_rows(state["modes"], n, seed), _categories(state["shares"], n, seed))
 
 
+def _fit_by_client(df: DataFrame, schema: TableSchema, modes: int = 5, most: int = 20) -> dict:
+    """A mixture for each numeric column by rounds of local training, until the rows' density gains little."""
+    numeric, nominal = _columns(schema)
+    stop = EarlyStop(epsilon=1e-3, patience=2, higher=True)
+    fit = rounds.fit_clients(df, rounds.mixture_method(numeric), rounds.mixture_state(df, numeric, modes), most, evaluate=rounds.log_likelihood(df, numeric), stop=stop)
+    return {"modes": rounds.mixture_params(df, fit.state, [c for c in numeric if f"mean.{c}" in fit.state]), "shares": category_weights(df, nominal, log=False)}
+
+
+def _fit_copula(df: DataFrame, schema: TableSchema) -> dict:
+    numeric, nominal = _columns(schema)
+    rows = kept(df.select(*[F.col(f"`{c}`") for c in numeric]).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    return {"spark": df.sparkSession, "copula": copula.fit_copula(rows, "__row", numeric), "shares": category_weights(df, nominal, log=False)}
+
+
+def _draw_copula(state: dict, schema: TableSchema, n: int, seed: int) -> DataFrame:
+    fitted = state["copula"]
+    rows = copula.copula_rows(state["spark"], fitted, n, seed)
+    return _wide(schema, melt(rows, fitted.columns, ["id"]), _categories(state["shares"], n, seed))
+
+
 def _draw_uniform(state: dict, schema: TableSchema, n: int, seed: int) -> DataFrame:
     numeric, _ = _columns(schema)
     rows = uniform_rows(state["rows"], numeric, n, seed)
@@ -180,4 +202,6 @@ SYNTHESIZERS = {
     "uniform": Synthesizer(lambda df, schema: {"rows": df, "shares": category_weights(df, _columns(schema)[1], log=False)}, _draw_uniform),
     "marginal": Synthesizer(_fit_marginal, _draw_marginal),
     "mixture": Synthesizer(_fit_mixture, _draw_mixture),
+    "mixture_by_client": Synthesizer(_fit_by_client, _draw_mixture),
+    "copula": Synthesizer(_fit_copula, _draw_copula),
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import schema as sch
 from ..functions.exprs import hash_u01, normalized_key, weighted_mean
 from ..functions.tables import melt
-from ..operators import clean, encode, federate, fidelity, learn, metrics, privacy, scores, split, synth
+from ..operators import bayes, clean, copula, encode, federate, fidelity, learn, metrics, privacy, rounds, scores, split, synth
 from ..sources import tables as io
 from ..sources.scratch import scratch_path
 from ..streaming import monitor
@@ -78,6 +78,14 @@ def dropna_count(spark, d):
     return clean.missing_counts(nulled(spark, d))
 
 
+@query(with_("nulled") + "SELECT count(*) AS n_rows, count(*) FILTER (o_totalprice IS NOT NULL AND NOT isnan(o_totalprice)) AS n_kept, count(*) FILTER (o_totalprice IS NULL OR isnan(o_totalprice)) AS n_dropped, round(sum(o_custkey) FILTER (o_totalprice IS NOT NULL AND NOT isnan(o_totalprice)), 0)::BIGINT AS keys_kept FROM nulled")
+def dropna_observed(spark, d):
+    kept, seen = clean.drop_missing_counted(nulled(spark, d))
+    keys = kept.agg(F.sum("o_custkey")).first()[0]
+    got = seen.get
+    return spark.createDataFrame([(got["n_rows"], got["n_kept"], got["n_dropped"], keys)], "n_rows long, n_kept long, n_dropped long, keys_kept long")
+
+
 @query(with_("nulled") + "SELECT o_orderkey, o_totalprice FROM nulled WHERE isfinite(o_totalprice)")
 def sanitize_numeric(spark, d):
     return clean.sanitize_numeric(nulled(spark, d), ["o_totalprice", "o_custkey"]).select("o_orderkey", "o_totalprice")
@@ -107,6 +115,13 @@ def client_split(spark, d):
     return split.client_split(orders(spark, d), "o_orderkey", 0.2, 43).select("o_orderkey", "client_id", "split")
 
 
+@query(with_("ord", more=_CS) + "SELECT o_orderkey FROM r WHERE client_id = 1 AND idx < ceil(0.2::DOUBLE * n)")
+def load_partition(spark, d):
+    path = scratch_path(spark, "partitions")
+    io.write_partitions(split.client_split(orders(spark, d), "o_orderkey", 0.2, 43).select("o_orderkey", "client_id", "split"), path)
+    return io.load_partition(spark, path, 1, "test")
+
+
 @query(with_("ord", more=_CS) + "SELECT o_orderkey, client_id FROM r WHERE idx >= ceil(0.2::DOUBLE * n)")
 def all_train(spark, d):
     return split.all_train(split.client_split(orders(spark, d), "o_orderkey", 0.2, 43)).select("o_orderkey", "client_id")
@@ -128,11 +143,15 @@ def log_freq_weights(spark, d):
 @query(f"WITH w AS (SELECT l_returnflag AS category, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1), c AS (SELECT category, sum(n / (SELECT sum(n) FROM w)) OVER (ORDER BY category) AS c FROM w), o AS (SELECT o_orderkey, {u01(45, 'o_orderkey')} AS u FROM orders) SELECT o_orderkey, coalesce(min(category) FILTER (c > u), max(category)) AS category FROM o CROSS JOIN c GROUP BY o_orderkey")
 def sample_category(spark, d):
     w = split.category_weights(table(spark, d, "lineitem"), ["l_returnflag"], log=False)
-    from pyspark.sql import Window
+    asked = table(spark, d, "orders").select("o_orderkey", F.lit("l_returnflag").alias("column"), hash_u01(45, F.col("o_orderkey")).alias("u"))
+    return split.draw(asked, w).select("o_orderkey", "category")
+
 
-    upto = Window.partitionBy("column").orderBy("category").rowsBetween(Window.unboundedPreceding, 0)
-    t = w.select("category", F.sum("weight").over(upto).alias("c")).agg(F.array_sort(F.collect_list(F.struct("c", "category"))).alias("t"))
-    return table(spark, d, "orders").crossJoin(F.broadcast(t)).select("o_orderkey", split.draw_category(hash_u01(45, F.col("o_orderkey")), F.col("t.c"), F.col("t.category")).alias("category"))
+@query(f"WITH w AS (SELECT l_partkey::VARCHAR AS category, count(*) AS n FROM lineitem GROUP BY 1), c AS (SELECT category, sum(n) OVER (ORDER BY category)::DOUBLE / sum(n) OVER () AS c FROM w), o AS (SELECT o_orderkey, {u01(47, 'o_orderkey')} AS u FROM orders) SELECT o_orderkey, w.category FROM (SELECT o_orderkey, (SELECT min(c) FROM c WHERE c > u) AS c FROM o) JOIN c AS w USING (c)")
+def sample_wide_category(spark, d):
+    w = split.category_weights(table(spark, d, "lineitem"), ["l_partkey"], log=False)
+    asked = table(spark, d, "orders").select("o_orderkey", F.lit("l_partkey").alias("column"), hash_u01(47, F.col("o_orderkey")).alias("u"))
+    return split.draw(asked, w).select("o_orderkey", "category")
 
 
 _BAL = f"""WITH lf AS (SELECT "column", coalesce(value, '__NA__') AS category, count(*) AS n FROM ({unpivot('orders', ['o_orderstatus', 'o_orderpriority'])}) GROUP BY ALL),
@@ -781,6 +800,61 @@ def gen_mixture(spark, d):
     return synth.mixture_rows(synth.fit_mixture(o, ["o_totalprice"], modes=3, rounds=4), o.count(), 72)
 
 
+#: A posterior of three modes for order prices, an input of the query below.
+_DP = (lambda n: bayes.Posterior(1 + n, bayes.STICK + np.array([700.0, 200.0, 0.0]), 1 + n, np.array([m for _, m, _ in _MODES]), 1 + n, np.array([s * s for _, _, s in _MODES])))(np.array([300.0, 500.0, 200.0]))
+_DP_LOGS = ", ".join(f"{o!r}::DOUBLE - pow(o_totalprice - {m!r}::DOUBLE, 2.0) / (2 * {v!r}::DOUBLE) AS d{i}" for i, (o, m, v) in enumerate(zip(_DP.offsets().tolist(), _DP.mean.tolist(), _DP.variance.tolist(), strict=True)))
+_DP_SUMS = " UNION ALL ".join(f"SELECT {i} AS mode, sum(e{i} / (e0 + e1 + e2)) + 1e-9 AS n, sum(e{i} / (e0 + e1 + e2) * x) AS sx, sum(e{i} / (e0 + e1 + e2) * x * x) AS sxx FROM e" for i in range(3))
+
+
+@query(
+    f"""WITH pr AS (SELECT avg(o_totalprice) AS m0, var_samp(o_totalprice) AS v0 FROM orders), l AS (SELECT o_totalprice - m0 AS x, {_DP_LOGS} FROM orders, pr),
+    e AS (SELECT x, exp(d0 - greatest(d0, d1, d2)) AS e0, exp(d1 - greatest(d0, d1, d2)) AS e1, exp(d2 - greatest(d0, d1, d2)) AS e2 FROM l), m AS ({_DP_SUMS}),
+    p AS (SELECT mode, n, sx / n AS mm, greatest(sxx / n - (sx / n) * (sx / n), 0) + 1e-6 * v0 AS s, 1 + n AS a, 0.001 + coalesce(sum(n) OVER (ORDER BY mode ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS b FROM m, pr),
+    w AS (SELECT *, a / (a + b) * exp(coalesce(sum(ln(b / (a + b))) OVER (ORDER BY mode ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS w FROM p)
+    SELECT mode, round(w / sum(w) OVER (), 6) AS weight, round(m0 + n * mm / (1 + n), 3) AS mean, round(sqrt((v0 + n * s + n / (1 + n) * mm * mm) / (1 + n)), 3) AS std FROM w, pr"""
+)
+def dp_round(spark, d):
+    counts = bayes.counted(orders(spark, d), ["o_totalprice"])
+    got = bayes.dp_round(counts, {"o_totalprice": _DP}, bayes.priors(counts))["o_totalprice"]
+    rows = [(i, round(float(w), 6), round(float(m), 3), round(float(v) ** 0.5, 3)) for i, (w, m, v) in enumerate(zip(got.weights(), got.mean, got.variance, strict=True))]
+    return spark.createDataFrame(rows, "mode int, weight double, mean double, std double")
+
+
+@query()
+def fit_modes(spark, d):
+    return bayes.fit_modes(orders(spark, d), ["o_totalprice"], rounds=12)
+
+
+@query(with_("ord", more=_G) + "SELECT 'grid.o_totalprice' AS param, pos::INT AS pos, round(value, 4) AS value FROM g")
+def fit_clients(spark, d):
+    fit = rounds.fit_clients(orders(spark, d), rounds.marginal_method(["o_totalprice"], synth.GRID), {}, 1)
+    return rounded(spark.createDataFrame([(p, i, float(v)) for p, vs in fit.state.items() for i, v in enumerate(vs)], "param string, pos int, value double"), 4)
+
+
+@query()
+def fit_clients_mixture(spark, d):
+    o, cols = orders(spark, d), ["o_totalprice"]
+    stop = monitor.EarlyStop(epsilon=1e-3, patience=2, higher=True)
+    fit = rounds.fit_clients(o, rounds.mixture_method(cols), rounds.mixture_state(o, cols, 3), 6, evaluate=rounds.log_likelihood(o, cols), stop=stop)
+    return rounds.mixture_params(o, fit.state, cols)
+
+
+_E = [f"sqrt(-2 * ln(greatest({u01(80 + 2 * i, 'id')}, 1e-12))) * cos({u01(81 + 2 * i, 'id')} * 6.283185307179586)" for i in range(2)]
+
+
+@query(f"WITH r AS (SELECT corr(o_totalprice, o_custkey) AS r FROM orders), e AS (SELECT id, {_E[0]} AS e0, {_E[1]} AS e1 FROM (SELECT row_number() OVER () - 1 AS id FROM orders)) SELECT id, round(e0, 6) AS z0, round(r * e0 + sqrt(1 - r * r) * e1, 6) AS z1 FROM e, r")
+def copula_project(spark, d):
+    o = table(spark, d, "orders")
+    lower = copula.factor(copula.correlations(o.select(F.col("o_totalprice").alias("a"), F.col("o_custkey").alias("b")), ["a", "b"]))
+    return rounded(copula.projected(spark.range(o.count()), lower, 80))
+
+
+@query()
+def gen_copula(spark, d):
+    t = table(spark, d, "lineitem").withColumn("key", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    return copula.copula_rows(spark, copula.fit_copula(t, "key", NUM), table(spark, d, "orders").count(), 81)
+
+
 @query("SELECT count(*) AS n FROM orders")
 def sample_check(spark, d):
     n = synth.row_count(None, table(spark, d, "orders"))
@@ -812,6 +886,15 @@ def early_stop(spark, d):
     return monitor.early_stop(_history(spark, d), 0.001, 6, higher=True)
 
 
+@query(ORACLE_SQLS["early_stop"])
+def early_stop_stream(spark, d):
+    history, stops = scratch_path(spark, "history"), scratch_path(spark, "stops")
+    _history(spark, d).repartition(4, F.hash("round")).write.parquet(history)
+    stream = spark.readStream.schema("run_id long, round int, value double").option("maxFilesPerTrigger", 2).parquet(history)
+    monitor.early_stop_stream(stream, stops, scratch_path(spark, "stream"), 0.001, 6, higher=True).awaitTermination()
+    return monitor.stopped_runs(spark, stops)
+
+
 @query("WITH " + _HIST + " SELECT run_id, round FROM (SELECT *, max(round) OVER (PARTITION BY run_id) AS total FROM h) WHERE round >= 2 AND (round - 2) % 3 = 0 AND round <> total")
 def stop_cadence(spark, d):
     h = _history(spark, d)

@@ -27,6 +27,19 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).mode("errorifexists").csv(path)
 
 
+def write_partitions(df: DataFrame, path: str) -> None:
+    """A table with client_id and split, in a folder for each split and client of it. A client's rows go to one task, so that it has few
+    files, but those of a large client to as many as their size asks for."""
+    df.hint("rebalance", "split", "client_id").write.partitionBy("split", "client_id").mode("errorifexists").parquet(path)
+
+
+def load_partition(spark: SparkSession, path: str, client: int, split: str) -> DataFrame:
+    """One client's rows of one split; only their folder is read. Raises for a split that isn't there; an unknown client has no rows."""
+    if split not in ("train", "test"):
+        raise ValueError(f"unknown split {split!r}")
+    return spark.read.parquet(path).where((F.col("split") == split) & (F.col("client_id") == client)).drop("split", "client_id")
+
+
 def sink_ready(metrics: DataFrame) -> DataFrame:
     """Metrics as they are written: NaN as null; an infinite value stops the job."""
     value = F.nanvl("value", F.lit(None).cast("double"))
