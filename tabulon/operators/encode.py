@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import prefixed
-from ..functions.tables import in_ranges, melt, quantiles, row_index, running_sums
+from ..functions.tables import as_of, in_ranges, melt, quantiles, row_index, running_sums
 from ..sources.scratch import kept
 
 
@@ -119,10 +119,15 @@ def one_hot(place: Column, n: int) -> Column:
 
 
 def nearest_code(vocabulary: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows: (id, column, value). Each value gets the code of its own column next to it: (id, column, code, value)."""
-    codes = vocabulary.groupBy("column").agg(F.array_sort(F.collect_list("code")).alias("codes"))
-    near = F.array_min(F.transform("codes", lambda c: F.struct(F.abs(c - F.col("value")).alias("d"), c.alias("code"))))
-    return rows.join(codes, "column").select("id", "column", "value", near["code"].alias("code"))
+    """rows: (id, column, value). Each value gets the code of its own column next to it, of two as near the lesser: (id, column, value,
+    code). Values and codes meet in ranges of both, so a column may have any number of codes."""
+    codes = vocabulary.select("column", F.col("code").cast("double").alias("value"), "code", F.lit(1).cast("long").alias("__one"))
+    marks = running_sums(codes, ["__one"], ["column"], ["value"], following=True).select("column", "value", "code", F.col("next").alias("__next"))
+    ends = codes.groupBy("column").agg(F.min("code").alias("__first"))  # a row a column
+    found = as_of(marks, rows.select("id", "column", F.col("value").cast("double").alias("value")), ["column"], "value", ["code", "__next"]).join(F.broadcast(ends), "column")
+    upper = F.col("__next") - F.col("value") < F.col("value") - F.col("code")
+    code = F.when(F.col("code").isNull(), F.col("__first")).when(upper, F.col("__next").cast("int")).otherwise(F.col("code"))
+    return found.select("id", "column", "value", code.cast(vocabulary.schema["code"].dataType).alias("code"))
 
 
 def mixture_start(df: DataFrame, cols: Sequence[str], modes: int) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import category, number
-from ..functions.tables import cdf, melt, row_index
+from ..functions.tables import melt, row_index
+from .fidelity import distances_to_one
 
 
 def weighted_params(params: DataFrame, weights: DataFrame) -> DataFrame:
@@ -51,10 +52,7 @@ def client_wasserstein(df: DataFrame, cols: Sequence[str], key: str) -> DataFram
     total = counts.withColumn("take", F.floor(F.col("n") * F.col("n") / F.sum("n").over(Window.partitionBy())).cast("long"))
     first = row_index(df, [F.col(key)], ["client_id"], "rn").join(total, "client_id").where(F.col("rn") < F.col("take"))
     long = melt(df, cols, ["client_id"], convert=number)
-    pooled = melt(first, cols, convert=number).join(F.broadcast(counts.select("client_id")))
-    both = cdf(long, pooled.select("client_id", "column", "value"), ["client_id", "column"])
-    gap = F.abs(F.col("f_real") - F.col("f_syn"))
-    return both.groupBy("client_id", "column").agg(F.coalesce(F.sum(gap * (F.col("next") - F.col("value"))), F.lit(0.0)).alias("distance"))
+    return distances_to_one(long, melt(first, cols, convert=number), ["client_id"]).select("client_id", "column", F.coalesce("wasserstein", F.lit(0.0)).alias("distance"))
 
 
 def similarity(distances: DataFrame) -> DataFrame:

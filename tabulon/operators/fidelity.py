@@ -1,7 +1,7 @@
 """Fidelity of a synthetic table: moments, distributions, categories, correlations; whole, and by client with merges.
 
 Inputs are melted tables (keys, column, value), so that one job serves all columns. A synthetic table is taken once, not once
-a client. Moments and categories merge exactly; the rest is a mean weighted by rows and only approximates the whole."""
+a client: clients' values look it up. Moments and categories merge exactly; the rest is a mean weighted by rows and only approximates the whole."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import category, finite, number, weighted_mean
-from ..functions.tables import cdf, melt
+from ..functions.tables import as_of, cdf, melt, running_sums
 from .clean import non_constant, sanitize_numeric
 
 
@@ -42,14 +42,48 @@ def distances(real: DataFrame, syn: DataFrame, keys: Sequence[str] = ()) -> Data
     """(*keys, column, ks, wasserstein, t_stat) of sanitized melted tables; syn without keys is compared with each of them."""
     keys = list(keys)
     if keys:
-        syn = syn.join(F.broadcast(real.select(*keys).distinct()))
-    both = cdf(real, syn, [*keys, "column"])
-    gap = F.abs(F.col("f_real") - F.col("f_syn"))
-    by_cdf = both.groupBy(*keys, "column").agg(F.max(gap).alias("ks"), F.sum(gap * (F.col("next") - F.col("value"))).alias("wasserstein"))
-    part = lambda df, p: df.groupBy(*keys, "column").agg(F.count("value").alias(f"n_{p}"), F.avg("value").alias(f"mean_{p}"), F.var_samp("value").alias(f"var_{p}"))
-    t = part(real, "r").join(part(syn, "s"), [*keys, "column"])
+        gaps = distances_to_one(real, syn, keys)
+    else:
+        both = cdf(real, syn, ["column"])
+        gap = F.abs(F.col("f_real") - F.col("f_syn"))
+        gaps = both.groupBy("column").agg(F.max(gap).alias("ks"), F.sum(gap * (F.col("next") - F.col("value"))).alias("wasserstein"))
+    part = lambda df, p, by: df.groupBy(*by).agg(F.count("value").alias(f"n_{p}"), F.avg("value").alias(f"mean_{p}"), F.var_samp("value").alias(f"var_{p}"))
+    t = part(real, "r", [*keys, "column"]).join(F.broadcast(part(syn, "s", ["column"])), "column")  # a row a column
     stat = F.try_divide(F.abs(F.col("mean_r") - F.col("mean_s")), F.sqrt(F.col("var_r") / F.col("n_r") + F.col("var_s") / F.col("n_s")))
-    return by_cdf.join(t.select(*keys, "column", stat.alias("t_stat")), [*keys, "column"])
+    return gaps.join(t.select(*keys, "column", stat.alias("t_stat")), [*keys, "column"])
+
+
+def distances_to_one(real: DataFrame, syn: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(*keys, column, ks, wasserstein): each key's distribution against the one of syn. real: (*keys, column, value); syn: (column, value).
+
+    The synthetic values are counted and put in order once. Each distinct value of a key then looks up what lies at or before it, and
+    where the synthetic share crosses the key's own, in joins by ranges; syn isn't copied for the keys. Between two values of a key
+    its share is constant, so the gap is largest at an end, and the area between is that of the synthetic share's integral."""
+    keys = list(keys)
+    base = syn.groupBy("column").agg(F.avg("value").alias("base"))  # a row a column; sums of values near zero keep their digits
+    near = lambda df: df.where("value IS NOT NULL").join(F.broadcast(base), "column").withColumn("value", F.col("value") - F.col("base")).drop("base")
+    counts = near(syn).groupBy("column", "value").agg(F.count("*").alias("n")).withColumn("m", F.col("n") * F.col("value"))
+    order = running_sums(counts, ["n", "m"], ["column"], ["value"])
+    marks = order.select("column", "value", F.col("value").alias("mark"), F.col("n_before").alias("low"), (F.col("n_before") + F.col("n")).alias("high"), F.col("m_before").alias("low_sum"), (F.col("m_before") + F.col("m")).alias("high_sum"), F.col("n_all").alias("s_all"))
+    totals = counts.groupBy("column").agg(F.sum("n").alias("s_all"), F.sum("m").alias("s_sum"))
+    own = running_sums(near(real).groupBy(*keys, "column", "value").agg(F.count("*").alias("n")), ["n"], [*keys, "column"], ["value"], following=True)
+    own = own.select(*keys, "column", "value", "next", (F.col("n_before") / F.col("n_all")).alias("before"), ((F.col("n_before") + F.col("n")) / F.col("n_all")).alias("share"), (F.col("n_before") == 0).alias("first"))
+    here = as_of(marks, own, ["column"], "value", ["mark", "low", "high", "high_sum"])
+    crossing = marks.select("column", (F.col("low") / F.col("s_all")).alias("share"), F.col("mark").alias("x"), F.col("low").alias("x_low"), F.col("low_sum").alias("x_sum"))
+    rows = as_of(crossing, here, ["column"], "share", ["x", "x_low", "x_sum"]).join(F.broadcast(totals), "column")
+
+    v, nxt, c, all_ = F.col("value"), F.col("next"), F.col("share"), F.col("s_all")
+    upto = F.coalesce(F.col("high"), F.lit(0)) / all_
+    below = F.when(F.col("mark") == v, F.col("low") / all_).otherwise(upto)
+    area = v * upto - F.coalesce(F.col("high_sum"), F.lit(0.0)) / all_  # of the synthetic share, up to the value
+    ks = F.greatest(F.abs(c - upto), F.abs(F.col("before") - below))
+    # the interval before a value: where the share stayed below the key's, its area counts the other way
+    left = F.when(F.col("first") | (below > F.col("before")), area).otherwise(-area)
+    tail = (F.col("s_sum") - F.coalesce(F.col("high_sum"), F.lit(0.0))) / all_ - v * (1 - upto)
+    x = F.col("x")
+    inside = F.when(x >= nxt, c * (nxt - v)).when(x <= v, c * (v - nxt) - 2 * area).otherwise(c * (2 * x - v - nxt) - 2 * (x * F.col("x_low") - F.col("x_sum")) / all_)
+    right = F.when(nxt.isNull(), tail).otherwise(area + inside)
+    return rows.groupBy(*keys, "column").agg(F.max(ks).alias("ks"), F.greatest(F.sum(left + right), F.lit(0.0)).alias("wasserstein"))
 
 
 def distance_means(real: DataFrame, syn: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -67,8 +101,11 @@ def distance_means_federated(real: DataFrame, syn: DataFrame, cols: Sequence[str
     return by.agg(*[weighted_mean(F.col(c), F.col("n")).alias(c) for c in ("ks_mean", "wasserstein_mean", "t_stat_mean_abs")])
 
 
-def category_counts(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    return melt(df, cols, keys, convert=category).groupBy(*keys, "column", F.col("value").alias("category")).agg(F.count("*").alias("n"))
+def category_counts(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), whole_too: bool = False) -> DataFrame:
+    """(*keys, column, category, n). whole_too: also over all keys, which are null there, in the same pass."""
+    long, by = melt(df, cols, keys, convert=category).withColumnRenamed("value", "category"), [*keys, "column", "category"]
+    groups = long.groupingSets([[F.col(c) for c in by], [F.col("column"), F.col("category")]], *by) if whole_too else long.groupBy(*by)
+    return groups.agg(F.count("*").alias("n"))
 
 
 def total_variation(real: DataFrame, syn: DataFrame) -> DataFrame:

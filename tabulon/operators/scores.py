@@ -31,10 +31,14 @@ def rmse(scored: DataFrame, keys: Sequence[str] = (), pred: str = "pred", label:
     return scored.groupBy(*keys).agg(F.sqrt(F.avg(F.pow(F.col(label) - F.col(pred), F.lit(2.0)))).alias("rmse"))
 
 
-def confusion(scored: DataFrame, keys: Sequence[str] = ("client_id",), group: str = "group", least: int = LEAST_GROUP) -> DataFrame:
-    """(*keys, group, tp, fp, tn, fn), without groups of fewer than `least` rows. scored: label and pred are 0 or 1."""
+def confusion(scored: DataFrame, keys: Sequence[str] = ("client_id",), group: str = "group", least: int = LEAST_GROUP, whole_too: bool = False) -> DataFrame:
+    """(*keys, group, tp, fp, tn, fn), without groups of fewer than `least` rows. scored: label and pred are 0 or 1. whole_too: also over
+    all keys, which are null there, in the same pass; groups that are too small at every key may have a row there."""
     cell = lambda y, p: F.count_if((F.col("label") == y) & (F.col("pred") == p))
-    got = scored.where(F.col(group).isNotNull()).groupBy(*keys, F.col(group).alias("group")).agg(cell(1, 1).alias("tp"), cell(0, 1).alias("fp"), cell(0, 0).alias("tn"), cell(1, 0).alias("fn"), F.count("*").alias("n"))
+    rows = scored.where(F.col(group).isNotNull()).withColumn("group", F.col(group))
+    by = [*keys, "group"]
+    groups = rows.groupingSets([[F.col(c) for c in by], [F.col("group")]], *by) if whole_too else rows.groupBy(*by)
+    got = groups.agg(cell(1, 1).alias("tp"), cell(0, 1).alias("fp"), cell(0, 0).alias("tn"), cell(1, 0).alias("fn"), F.count("*").alias("n"))
     return got.where(F.col("n") >= least).drop("n")
 
 

@@ -319,6 +319,11 @@ def categorical_tv_federated(spark, d):
     return rounded(fidelity.total_variation(fidelity.merge_counts(fidelity.category_counts(real(spark, d), NOM, ["client_id"])), fidelity.category_counts(syn(spark, d), NOM)))
 
 
+@query(with_("real") + f"SELECT client_id, \"column\", coalesce(value, '__NA__') AS category, count(*) AS n FROM ({unpivot('real', NOM, 'client_id')}) GROUP BY GROUPING SETS ((client_id, \"column\", value), (\"column\", value))")
+def category_counts_grouping_sets(spark, d):
+    return fidelity.category_counts(real(spark, d), NOM, ["client_id"], whole_too=True)
+
+
 _PAIRS = [(a, b) for i, a in enumerate(NUM) for b in NUM[i + 1 :]]
 
 
@@ -391,6 +396,11 @@ def group_confusion(spark, d):
     return scores.confusion(scored(spark, d))
 
 
+@query(with_("scored", more=_CELLS.replace("GROUP BY ALL", 'GROUP BY GROUPING SETS ((client_id, "group"), ("group"))')) + "SELECT * FROM cells")
+def confusion_grouping_sets(spark, d):
+    return scores.confusion(scored(spark, d), whole_too=True)
+
+
 @query(with_("scored", more=_CELLS + ", " + _RATES) + "SELECT round(max(pr) - min(pr), 6) AS demographic_parity_diff FROM rates")
 def demographic_parity(spark, d):
     return rounded(_fair(spark, d).select("demographic_parity_diff"))
@@ -616,7 +626,7 @@ def _context(spark, d) -> suite.Context:
 
 
 def _both(spark, d, *categories: str) -> DataFrame:
-    ctx = _context(spark, d)
+    ctx = _context(spark, d).written()
     return suite.report(ctx, categories).unionByName(suite.report(ctx, categories, by_client=True))
 
 

@@ -201,3 +201,20 @@ def test_rows_without_client_or_label_stay(spark):
     assert split.part_pathological(df.drop("client_id"), 3, "label", "k", 1).count() == 80
     assert split.part_shard(df.drop("client_id"), 2, "label", "k", 1).count() == 80
     assert split.part_dirichlet(df.drop("client_id"), 2, "label", "k", 1, least=1).count() == 80
+
+
+def test_clients_against_one_distribution(spark):
+    from tabulon.functions.tables import cdf
+    from tabulon.operators import fidelity
+
+    rng = np.random.default_rng(9)
+    real = [(int(k), c, round(float(rng.normal(k, 1 + k)), int(rng.integers(0, 3)))) for k in range(6) for c in "ab" for _ in range(int(rng.integers(1, 60)))]
+    real += [(7, "a", 1.0), (8, "a", -99.0), (9, "a", 99.0), (10, "b", None)]
+    syn = [(c, round(float(rng.normal(2, 3)), 1)) for c in "ab" for _ in range(80)] + [("a", None)]
+    r, s = spark.createDataFrame(real, "k int, column string, value double"), spark.createDataFrame(syn, "column string, value double")
+    got = {(x["k"], x["column"]): (x["ks"], x["wasserstein"]) for x in fidelity.distances_to_one(r, s, ["k"]).collect()}
+    both = cdf(r, s.join(r.select("k").distinct()), ["k", "column"]).where("f_real IS NOT NULL")
+    gap = F.abs(F.col("f_real") - F.col("f_syn"))
+    want = {(x["k"], x["column"]): (x["ks"], x["w"]) for x in both.groupBy("k", "column").agg(F.max(gap).alias("ks"), F.sum(gap * (F.col("next") - F.col("value"))).alias("w")).collect()}
+    assert got.keys() == want.keys() and len(got) == 15
+    assert all(np.allclose(got[k], want[k], rtol=1e-9, atol=1e-9) for k in got), [(k, got[k], want[k]) for k in got if not np.allclose(got[k], want[k])]
