@@ -61,6 +61,8 @@ class ChunkEncoder:
         self.library = Tokenizer.from_str(spec.decode())
         self.library.no_truncation()
         self.library.no_padding()
+        if hasattr(self.library.model, "_resize_cache"):
+            self.library.model._resize_cache(0)  # each word comes once; remembering it costs more
         size, suffix = self.library.get_vocab_size(), json.loads(spec)["model"].get("end_of_word_suffix")
         self.type = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.letters_apart = bool(suffix) and r"|[\\p{L}]+|" in spec.decode() and r"[^\\s\\p{L}\\p{N}]+" in spec.decode()
@@ -91,18 +93,26 @@ class ChunkEncoder:
         return out
 
     def learn(self, new: set[str]) -> None:
-        parts = {}
+        chunks, words, marks = [], [], []
         for c in new if self.letters_apart else ():
-            word = c.rstrip(MARKS)
-            if word.isalpha() and (word.isascii() or (unicodedata.is_normalized("NFC", word) and word.lower().isalpha())):
-                parts[c] = word.lower() if word.isascii() else word, c[len(word) :]
+            w = c.rstrip(MARKS)
+            if not w.isalpha():
+                continue
+            if w.isascii():
+                words.append(w.lower())
+            elif unicodedata.is_normalized("NFC", w) and w.lower().isalpha():
+                words.append(w)
+            else:
+                continue
+            chunks.append(c)
+            marks.append(c[len(w) :])
         known = self.known
-        words = list({w for w, _ in parts.values()})
-        word_ids = dict(zip(words, self.words(words), strict=True))
-        others = list(new.difference(parts).union(m for _, m in parts.values() if m and m not in known))
+        others = list(new.difference(chunks).union(set(marks).difference(known, [""])))
         known.update(zip(others, self.apart(others), strict=True))
-        for c, (w, marks) in parts.items():
-            known[c] = word_ids[w] + known[marks] if marks else word_ids[w]
+        each = list(set(words))
+        found = dict(zip(each, self.words(each), strict=True))
+        for c, w, m in zip(chunks, words, marks, strict=True):
+            known[c] = found[w] + known[m] if m else found[w]
 
     def encode(self, batch: list[str]) -> list[bytes]:
         rows = [self.chunks(t) for t in batch]
