@@ -3,7 +3,7 @@
 Every row gets, within its source and in a shuffled order, a virtual finish time: the words of its source so
 far, over its source's target. All rows of all sources are sorted by that time over the whole cluster, and the
 mix is cut where its total budget is reached, so that each source ends near its target. A row may come again
-in later rounds through its source (`max_rounds`), each time further along the virtual clock.
+in later rounds through its source (`rounds` in all), each time further along the virtual clock.
 
 Defined results: rows of size 0 (null or blank texts) take nothing; an empty table gives an empty table;
 a null source is a source of its own, the last; repeated rows count each for itself; other columns are ignored.
