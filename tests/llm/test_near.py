@@ -149,9 +149,10 @@ def shingle_counts(spark, *rows):
 
 
 def test_line_shingles(spark):
-    """Where words start, and at every further place of a long word where twelve characters are left."""
-    assert shingle_counts(spark, "ab cd ef", "ab ab ab", "a twelvecharsx b twelvechars1", "thirteenchars", "no longer words here") == [3, 3, 4, 2, 4]
-    rows = ["the quick brownest foxes of extraordinarily long wordings", "x", "漢字" * 10 + " zwei", "a b c d e f g h"]
+    """Where words start and twelve characters are left, at every further place of a long word where they are, and at the end of a
+    line of few words."""
+    assert shingle_counts(spark, "ab cd ef", "ab ab ab", "a twelvecharsx b twelvechars1", "thirteenchars", "no longer words here", "a b c d e f g h i j") == [2, 2, 5, 3, 3, 7]
+    rows = ["the quick brownest foxes of extraordinarily long wordings", "x", "漢字" * 10 + " zwei", "a b c d e f g h", "one two three four five six seven eight nine ten", "name: john smith 123"]
     want = [shingles_of(r) for r in rows]
     df = spark.createDataFrame(list(enumerate(rows)), "id long, line string")
     got = {(r["id"], r["h"]) for r in lines.shingle_rows(df).collect()}
@@ -161,7 +162,33 @@ def test_line_shingles(spark):
 
 def shingles_of(line):
     words = line.split(" ")
-    return {" ".join(words[i : i + 4])[:12] for i in range(len(words))} | {w[j : j + 12] for w in words for j in range(1, len(w) - 11)}
+    starts = {s for i in range(len(words)) if len(s := " ".join(words[i : i + 4])[:12]) == 12 or i + 3 < len(words) or i == 0}
+    return starts | {w[j : j + 12] for w in words for j in range(1, len(w) - 11)} | ({line[-12:]} if len(words) <= 7 else set())
+
+
+def test_shingles_stand_for_those_at_every_place():
+    """Of pairs of lines that are similar by the shingles at every place, nine in ten are so by those that are used; of pairs far from
+    it hardly any."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randrange(1, 11)))
+    every = lambda line: {line[i : i + 12] for i in range(max(1, len(line) - 11))}
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    found, similar, wrong, far = 0, 0, 0, 0
+    for n in range(4000):
+        a = [word() for _ in range(rng.randrange(3, 40))]
+        b = list(a)
+        for _ in range(rng.randrange(1, 3)):
+            at = rng.randrange(len(b))
+            b[at : at + 1] = [[word()], [], [b[at], word()], [b[at][:-1] + "x"]][n % 4]
+        if n % 5 == 0:
+            b = a[: -max(1, len(a) // 10)]
+        a, b = " ".join(a), " ".join(b)
+        true, used = jaccard(every(a), every(b)), jaccard(shingles_of(a), shingles_of(b))
+        similar += true >= 0.8
+        found += true >= 0.8 and used >= 0.8
+        far += true < 0.65
+        wrong += true < 0.65 and used >= 0.8
+    assert similar > 800 and far > 300 and found >= 0.9 * similar and wrong <= 0.02 * far
 
 
 def links_of(spark, names):
