@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import byte_groups, documents, join_small, keep, labels, powers, span_hashes, text_bytes, word_spans
 
+#: Bytes of text that statistics are worked out for at a time: they take some 60 bytes for each.
+GROUP = 1 << 20
 THRESHOLD = 0.3
 SHRINK, POOL, RIDGE = 0.05, 0.05, 1e-3
 
@@ -89,7 +91,7 @@ def with_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", ca
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = text_bytes(batch.column(len(kept)))
-            rows = [statistics(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]) for a, b in byte_groups(bounds)]
+            rows = [statistics(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]) for a, b in byte_groups(bounds, GROUP)]
             x = np.concatenate(rows) if rows else np.zeros((0, len(NAMES)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *(pa.array(c) for c in x.T)], names=[*kept, *NAMES])
 
@@ -156,7 +158,7 @@ def keep_good(docs: DataFrame, marks: DataFrame, *, key: str = "doc_id", text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = text_bytes(batch.column(batch.schema.get_field_index(text)))
-            for a, b in byte_groups(bounds):
+            for a, b in byte_groups(bounds, GROUP):
                 score = model.scores(statistics(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])) if model else np.full(b - a, 0.5)
                 yield batch.slice(a, b - a).filter(pa.array(score >= THRESHOLD))
 
