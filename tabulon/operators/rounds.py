@@ -7,15 +7,17 @@ instead, where the method has them. What comes to the driver is the state alone.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import number
+from ..functions.exprs import finite, number
 from ..functions.tables import melt, quantiles
 from ..sources.scratch import kept
 from ..streaming.monitor import EarlyStop
@@ -134,9 +136,10 @@ def _log_density(x: np.ndarray, weight: np.ndarray, mean: np.ndarray, std: np.nd
     return np.log(np.maximum(weight, 1e-300)) - np.log(std) - 0.5 * ((x[:, None] - mean) / std) ** 2
 
 
-def mixture_method(columns: Sequence[str], steps: int = 3, least: float = 1e-3) -> Method:
+def mixture_method(columns: Sequence[str], steps: int = 3, least: float = 1e-3, by_sums: bool = False) -> Method:
     """A mixture of normals for each column: a client takes some steps of expectation and maximisation from the common mixture. least: the
-    deviation that a mode keeps at least, of the common one."""
+    deviation that a mode keeps at least, of the common one. by_sums: clients too large for a task take their steps by aggregates,
+    which agree with theirs but for the last digits; they store nothing."""
 
     def local(rows: pd.DataFrame, state: State, storage: State) -> tuple[State, State]:
         out, seen = {}, {}
@@ -156,7 +159,42 @@ def mixture_method(columns: Sequence[str], steps: int = 3, least: float = 1e-3)
             seen[f"rounds.{c}"] = storage.get(f"rounds.{c}", np.zeros(1)) + 1
         return out, seen
 
-    return Method(local)
+    def large(df: DataFrame, state: State) -> DataFrame:
+        sizes = df.groupBy("client_id").agg(F.count("*").alias("n"))
+        found = mixture_steps(melt(df, columns, ["client_id"], convert=finite).where("value IS NOT NULL"), [r["client_id"] for r in sizes.collect()], state, columns, steps, least)
+        rows = [(c, f"{p}.{name}", i, float(x)) for (c, name), now in found.items() for p, values in zip(("weight", "mean", "std"), now, strict=True) for i, x in enumerate(values)]
+        return df.sparkSession.createDataFrame(rows, "client_id int, param string, pos int, value double").join(sizes, "client_id")
+
+    return Method(local, large if by_sums else None)
+
+
+def mixture_steps(long: DataFrame, clients: Sequence[int], state: State, columns: Sequence[str], steps: int, least: float) -> dict[tuple[int, str], tuple[np.ndarray, ...]]:
+    """Weights, means and deviations of each of some few clients' columns after the steps of mixture_method, each one aggregate over
+    all of them. long: (client_id, column, value), whose equal values are counted first."""
+    counts = kept(long.groupBy("client_id", "column", "value").agg(F.count("*").alias("k")), "counts")
+    now = {(c, name): tuple(state[f"{p}.{name}"].copy() for p in ("weight", "mean", "std")) for c in clients for name in columns}
+    width = max((len(w) for w, _, _ in now.values()), default=0)
+    # a mode that a column doesn't have is far below all others and takes nothing
+    fields = ", ".join(f"o{i} double, m{i} double, s{i} double" for i in range(width))
+    terms = [F.col(f"o{i}") - 0.5 * F.pow((F.col("value") - F.col(f"m{i}")) / F.col(f"s{i}"), F.lit(2.0)) for i in range(width)]
+    for _ in range(steps):
+        rows = [(c, name, *[float(x) for o, m, s in [(math.log(max(w, 1e-300)) - math.log(s), m, s) for w, m, s in zip(*p, strict=True)] + [(-1e300, 0.0, 1.0)] * (width - len(p[0])) for x in (o, m, s)]) for (c, name), p in now.items()]
+        table = counts.sparkSession.createDataFrame(rows, f"client_id int, column string, {fields}")  # a row a client and column
+        each = counts.join(F.broadcast(table), ["client_id", "column"]).withColumns({f"d{i}": t for i, t in enumerate(terms)})
+        top = F.greatest(*[F.col(f"d{i}") for i in range(width)]) if width > 1 else F.col("d0")
+        each = each.withColumn("top", top).withColumns({f"e{i}": F.exp(F.col(f"d{i}") - F.col("top")) for i in range(width)})
+        each = each.withColumn("total", reduce(Column.__add__, [F.col(f"e{i}") for i in range(width)])).withColumns({f"r{i}": F.col(f"e{i}") / F.col("total") * F.col("k") for i in range(width)})
+        # taken from the mode's mean, so that squares don't cancel
+        gap = lambda i: F.col("value") - F.col(f"m{i}")
+        sums = [F.sum(x).alias(f"{p}{i}") for i in range(width) for p, x in (("n", F.col(f"r{i}")), ("x", F.col(f"r{i}") * gap(i)), ("xx", F.col(f"r{i}") * gap(i) * gap(i)))]
+        for r in each.groupBy("client_id", "column").agg(*sums).collect():
+            w, m, s = now[r["client_id"], r["column"]]
+            n, x, xx = (np.array([r[f"{p}{i}"] for i in range(len(w))]) for p in ("n", "x", "xx"))
+            n, floor = n + 1e-9, least * state[f"std.{r['column']}"]
+            step = x / n
+            spread = np.maximum(xx / n - 2 * step * x / n + step * step * (n - 1e-9) / n, 0)
+            now[r["client_id"], r["column"]] = n / n.sum(), m + step, np.maximum(np.sqrt(spread), floor)
+    return now
 
 
 def mixture_state(df: DataFrame, columns: Sequence[str], modes: int) -> State:

@@ -48,6 +48,17 @@ def test_large_clients_go_by_aggregates(spark):
         rounds.one_round(df, rounds.mixture_method(["x"]), rounds.mixture_state(df, ["x"], 3), most_rows=10)
 
 
+def test_large_clients_take_the_mixture_s_steps(spark):
+    df = clients(spark).withColumn("y", F.when(F.col("client_id") != 1, F.round("y", 1)))
+    start = rounds.mixture_state(df, ["x"], 3) | rounds.mixture_state(df, ["y"], 2)
+    df = df.union(spark.createDataFrame([(2, float("nan"), float("inf"))], "client_id int, x double, y double"))
+    method = rounds.mixture_method(["x", "y"], by_sums=True)
+    small = rounds.fit_clients(df, method, start, 2).state
+    for most in (0, 300):  # all clients go by aggregates, or one
+        large = rounds.fit_clients(df, method, start, 2, most_rows=most).state
+        assert large.keys() == small.keys() and all(np.allclose(large[p], small[p], rtol=1e-7, atol=1e-9) for p in small)
+
+
 def test_rounds_of_local_training(spark):
     df = clients(spark)
     start, method, score = rounds.mixture_state(df, ["x"], 3), rounds.mixture_method(["x"]), rounds.log_likelihood(df, ["x"])
