@@ -80,6 +80,14 @@ def test_overlap(spark):
     assert privacy.overlap_rates(train.union(train.withColumn("client_id", F.lit(5))), same, ["a", "b", "c"], ["a"]).first()[0] == 2
 
 
+def test_overlap_is_of_equal_doubles(spark):
+    train = spark.createDataFrame([(0, 1.0, "a"), (0, 5.1, "b"), (0, 0.0, "c"), (0, float("nan"), "d"), (0, 8.0, "e")], "client_id int, x double, t string")
+    syn = spark.createDataFrame([(1.0 + 1e-10, "a"), (5.1, "b"), (5.1 + 1e-15, "b"), (-0.0, "c"), (None, "d")], "x double, t string")
+    assert {(r["top"], r["matches"]) for r in privacy.partial_overlaps(train, syn, ["x"]).collect()} == {(1, 3), (2, 3), (3, 3)}
+    assert [r["matches"] for r in privacy.overlap(train, syn, ["x", "t"]).collect()] == [3]
+    assert privacy.distinct_ratios(train.withColumn("x", F.lit(2.0) + F.monotonically_increasing_id() % 2 * 1e-10), ["x"]).first()["ratio"] > 0.2
+
+
 def test_membership(spark):
     rng = np.random.default_rng(2)
     table = lambda n, at: spark.createDataFrame([(at + i, *map(float, r)) for i, r in enumerate(rng.random((n, 4)))], "k int, a double, b double, c double, d double")
