@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import finite, hash_u01
 from ..functions.tables import melt, quantiles, running_sums
+from ..sources.scratch import kept
 from .encode import probit
 
 #: Quantiles of a column that values are drawn between.
@@ -30,14 +31,33 @@ class Copula:
     grids: dict[str, list[float]]
 
 
+#: Distinct values of a column whose scores are broadcast, rows of a task where there are more, and the share of a column, 1 / OFTEN,
+#: above which one value's rows are too many for a task.
+FEW, TASK_ROWS, OFTEN = 100_000, 1_000_000, 1_000
+
+
 def normal_scores(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
-    """(key, z0, z1, ...): each column's normal scores, null where it has no number. One pass of ranks serves all columns."""
-    long = melt(df, cols, [key], convert=finite).where("value IS NOT NULL")
+    """(key, z0, z1, ...): each column's normal scores, null where it has no number. One pass of ranks serves all columns.
+
+    Rows look their scores up where they are. Only where a column has many values do rows go to their value, in tasks of a bounded number
+    of rows; the values that stand often, of which there are few, are looked up in place there too."""
+    long = melt(df, cols, convert=finite).where("value IS NOT NULL")
     counts = long.groupBy("column", "value").agg(F.count("*").alias("n"))
     middle = F.try_divide(F.col("n_before") + F.col("n") / 2.0, F.col("n_all"))
-    ranks = running_sums(counts, ["n"], ["column"], ["value"]).select("column", "value", probit(middle).alias("z"))
-    scores = long.join(ranks, ["column", "value"])
-    return scores.groupBy(key).agg(*[F.max(F.when(F.col("column") == c, F.col("z"))).alias(f"z{i}") for i, c in enumerate(cols)])
+    ranks = kept(running_sums(counts, ["n"], ["column"], ["value"]).select("column", "value", "n", "n_all", probit(middle).alias("z")), "ranks")
+    sizes = {r["column"]: r for r in ranks.groupBy("column").agg(F.count("*").alias("values"), F.max("n_all").alias("n")).collect()}  # a row a column
+    rows = df.select(F.col(f"`{key}`").alias("__key"), *[finite(F.col(f"`{c}`")).alias(f"v{i}") for i, c in enumerate(cols)])
+    for i, c in enumerate(cols):
+        own = ranks.where(F.col("column") == c).select(F.col("value").alias(f"v{i}"), F.col("z").alias(f"z{i}"), (F.col("n") * OFTEN > F.col("n_all")).alias("often"))
+        if c not in sizes or sizes[c]["values"] <= FEW:
+            rows = rows.join(F.broadcast(own.drop("often")), f"v{i}", "left")
+            continue
+        rows = kept(rows.join(F.broadcast(own.where("often").drop("often")), f"v{i}", "left"), "scores")
+        done = F.col(f"z{i}").isNotNull() | F.col(f"v{i}").isNull()
+        n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sizes[c]["n"] // TASK_ROWS))
+        rest, scores = rows.where(~done).drop(f"z{i}").repartition(n, f"v{i}"), own.where("NOT often").drop("often").repartition(n, f"v{i}")
+        rows = rows.where(done).unionByName(rest.join(scores.hint("merge"), f"v{i}"))
+    return rows.select(F.col("__key").alias(key), *[f"z{i}" for i in range(len(cols))])
 
 
 def correlations(scores: DataFrame, names: Sequence[str]) -> np.ndarray:

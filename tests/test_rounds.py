@@ -1,6 +1,7 @@
 """Rounds by client, mixtures with a Dirichlet-process prior, the copula, draws from many categories."""
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -132,6 +133,21 @@ def ranks(a):
     return pd.DataFrame(a).rank().corr().to_numpy()
 
 
+def test_normal_scores_of_many_values_and_of_a_frequent_one(spark, monkeypatch):
+    rows = [(i, float(i % 7 and i), float(i % 3) if i % 5 else None, None) for i in range(700)] + [(700, float("nan"), float("inf"), None)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    by_id = lambda t: {r["id"]: tuple(r)[1:] for r in t.collect()}
+    few = by_id(copula.normal_scores(df, "id", ["a", "b", "c"]))
+    monkeypatch.setattr(copula, "FEW", 2)
+    monkeypatch.setattr(copula, "OFTEN", 20)
+    monkeypatch.setattr(copula, "TASK_ROWS", 100)
+    assert by_id(copula.normal_scores(df, "id", ["a", "b", "c"])) == few and len(few) == 701
+    a = pd.DataFrame(rows)[1]
+    ranks = (a.rank() - 0.5) / a.notna().sum()
+    assert all(abs(few[i][0] - NormalDist().inv_cdf(ranks[i])) < 1e-12 for i in range(700))
+    assert few[700] == (None, None, None) and few[5][1] is None and few[1][1] is not None
+
+
 def test_copula_keeps_rank_correlations_and_distributions(spark):
     rng = np.random.default_rng(5)
     z = rng.multivariate_normal([0, 0, 0], [[1, 0.8, -0.5], [0.8, 1, -0.2], [-0.5, -0.2, 1]], 4000)
