@@ -194,12 +194,16 @@ def encode_table(docs: DataFrame, path: str, *, key: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(file)
         for batch in batches:
-            rows = [r for g in groups(pc.fill_null(batch.column(1), "").to_pylist()) for r in encoder.encode(g)]
-            columns = [batch.column(0), pa.array([len(i) // 4 for i, _ in rows], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i, _ in rows]), pa.array([hashlib.sha256(d.encode()).hexdigest() for _, d in rows])]
-            if full:
-                ends = np.cumsum([0, *(len(i) // 4 for i, _ in rows)]).astype(np.int32)
-                columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join([i for i, _ in rows]), dtype="<i4"))), pa.array([d for _, d in rows], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)])
+            at = 0
+            # a group's ids and texts go on before the next one is encoded
+            for g in groups(pc.fill_null(batch.column(1), "").to_pylist()):
+                rows = encoder.encode(g)
+                columns = [batch.column(0).slice(at, len(g)), pa.array([len(i) // 4 for i, _ in rows], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i, _ in rows]), pa.array([hashlib.sha256(d.encode()).hexdigest() for _, d in rows])]
+                if full:
+                    ends = np.cumsum([0, *(len(i) // 4 for i, _ in rows)]).astype(np.int32)
+                    columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join([i for i, _ in rows]), dtype="<i4"))), pa.array([d for _, d in rows], pa.string())]
+                at += len(g)
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)])
 
     return docs.select(key, text).mapInArrow(run, schema)
 

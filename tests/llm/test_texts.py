@@ -28,6 +28,14 @@ def test_bpe_matches_the_library():
             assert decoded == want.decode(e.ids, skip_special_tokens=False)
 
 
+def test_bpe_table_of_several_groups_in_a_batch(spark):
+    texts = {i: f"word{i} another one. " * n for i, n in enumerate((30_000, 3, 40_000, 0, 50_000, 2))}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    want = {i: (len(ids) // 4, d) for i, (ids, d) in zip(texts, bpe.Encoder(bpe.vocabulary_path()).encode(list(texts.values())), strict=True)}
+    got = bpe.encode_table(docs, bpe.vocabulary_path(), full=True).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["decoded"]) for r in got} == want and len(got) == len(texts)
+
+
 def test_bpe_table(odd_docs, no_docs):
     rows = bpe.encode_table(odd_docs, bpe.vocabulary_path(), full=True).collect()
     assert len(rows) == odd_docs.count()
