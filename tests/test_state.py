@@ -126,6 +126,13 @@ def scored_tables(spark):
     return df, suite.Context(schema, split.all_train(own).drop("split"), cut.where("split = 'holdout'").drop("split"), df.drop("id"), "id", "y", ("Stage 1.s",), test=own.where("split = 'test'").drop("split"), runs=runs, seconds=seconds)
 
 
+def test_report_as_a_query_is_small(spark):
+    """What is left of a report is a union of what its evaluators found, however many they are."""
+    ctx = scored_tables(spark)[1]
+    plan = suite.report(ctx, ["fidelity"], by_client=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1 and plan.count("Relation") == 5
+
+
 def test_report_and_registration(spark):
     df, ctx = scored_tables(spark)
     for by_client in (False, True):
