@@ -26,6 +26,19 @@ def test_holdout(spark, pool):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, split.holdout_split(pool.limit(997).repartition(7), "id", 0.2, 1).collect()))
 
 
+def test_client_split_sorts_little(spark, monkeypatch):
+    """Of 20,000 rows only those of the hash ranges that the cuts fall into are put in order, and the split is that of all keys in order."""
+    df = spark.range(20000).select("id", F.when(F.col("id") % 4 > 0, (F.col("id") % 4).cast("int")).alias("client_id")).cache()
+    put, index = [], split.row_index
+    monkeypatch.setattr(split, "row_index", lambda rows, *a, **k: (put.append(rows.count()), index(rows, *a, **k))[1])
+    got = {r["id"]: r["split"] for r in split.client_split(df, "id", 0.2, 7).collect()}
+    assert len(got) == 20000 and put and sum(put) < 200
+    order = df.select("client_id", split.hash_u01(7, F.col("id")).alias("u"), "id").collect()
+    for client in (None, 1, 2, 3):
+        ids = [r["id"] for r in sorted((r for r in order if r["client_id"] == client), key=lambda r: (r["u"], r["id"]))]
+        assert [got[i] for i in ids] == ["test"] * 1000 + ["train"] * 4000
+
+
 def test_client_split(pool):
     got = split.client_split(split.part_linear(pool, 3, "id", 1), "id", 0.25, 2)
     for r in got.groupBy("client_id").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "test").alias("t")).collect():
