@@ -32,6 +32,8 @@ LEAST, MEAN_BITS, MOST = 512, 11, 8192
 MOST_SHARED = 2_000_000
 #: So many chunks of the store (8 kB each at most, a quarter of that on average) may be broadcast.
 MOST_CHUNKS = 8_000
+#: Beyond it, a chunk has a copy for so many places that ask for it.
+MOST_ASKED = 1_000
 GEAR = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -164,6 +166,24 @@ def told(keys: list, key_type: pa.DataType, rows: list[tuple], key: str) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(keys, key_type), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(TOLD_TYPES))], names=[key, *TOLD])
 
 
+def fetch(asked: DataFrame, shared: DataFrame, limit: int = MOST_CHUNKS, most: int = MOST_ASKED) -> DataFrame:
+    """asked: (row_id, place, digest, ...), with the stored chunk of each. Up to `limit` chunks are broadcast; beyond it they are joined, where a
+    chunk that more than `most` places ask for has a copy for each `most` of them, so that there are no more copies than chunks
+    and places / `most`."""
+    if shared.limit(limit + 1).count() <= limit:
+        return asked.join(F.broadcast(shared), "digest", "left")
+    often = keep(often_asked(asked, most), "media-often")
+    copies = F.coalesce("__copies", F.lit(1).cast("long"))
+    dealt = lambda df, salt: join_small(df, often, ["digest"], how="left", limit=MOST_SHARED, copies=1).withColumn("__salt", salt).drop("__copies")
+    spread = dealt(shared, F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
+    return dealt(asked, F.pmod(F.xxhash64("row_id", "place"), copies)).join(spread, ["digest", "__salt"], "left").drop("__salt")
+
+
+def often_asked(asked: DataFrame, most: int) -> DataFrame:
+    """(digest, __copies) of the chunks that more than `most` places ask for."""
+    return asked.groupBy("digest").agg(F.ceil(F.count("*") / most).alias("__copies")).where("__copies > 1")
+
+
 def read_back(table: DataFrame, key: str) -> DataFrame:
     """(key, *TOLD) of every row of a stored media table."""
     key_type = table.schema[key].dataType.simpleString()
@@ -203,12 +223,11 @@ def read_back(table: DataFrame, key: str) -> DataFrame:
     n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     direct = table.where(F.col("is_row") & ~refers).select(key, "chunks").mapInArrow(whole, types)
     pieces = table.where(F.col("is_row") & refers).select("row_id", key, F.posexplode("chunks").alias("place", "c")).select("row_id", key, "place", "c.digest", "c.data")
-    pieces = pieces.mapInArrow(packed, f"row_id long, {key} {key_type}, place int, digest binary, data binary")
+    stored = pieces.where("data IS NOT NULL").mapInArrow(packed, f"row_id long, {key} {key_type}, place int, digest binary, data binary")
     shared = table.where(~F.col("is_row")).select(F.explode("chunks").alias("c")).select("c.digest", "c.data").mapInArrow(packed, "digest binary, data binary")
     shared = keep(shared.dropDuplicates(["digest"]).withColumnRenamed("data", "stored"), "media-chunks")
-    # a chunk that very many documents share is spread over salts
-    fetched = join_small(pieces.where("data IS NULL").drop("data"), shared, ["digest"], F.xxhash64("row_id", "place"), how="left", limit=MOST_CHUNKS, copies=16).select("row_id", key, "place", "digest", F.col("stored").alias("data"))
-    ordered = pieces.where("data IS NOT NULL").union(fetched).repartition(n, "row_id").sortWithinPartitions("row_id", "place")
+    fetched = fetch(pieces.where("data IS NULL").drop("data"), shared).select("row_id", key, "place", "digest", F.col("stored").alias("data"))
+    ordered = stored.union(fetched).repartition(n, "row_id").sortWithinPartitions("row_id", "place")
     return direct.union(ordered.mapInArrow(in_order, types))
 
 

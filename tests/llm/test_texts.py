@@ -129,6 +129,15 @@ def told(text):
     return len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]), 44 + len(padded)
 
 
+def test_only_chunks_that_many_ask_for_have_copies(spark):
+    asked = spark.range(500).select(F.col("id").alias("row_id"), F.lit(0).alias("place"), F.when(F.col("id") < 300, 0).otherwise(F.col("id")).cast("string").cast("binary").alias("digest"))
+    shared = asked.select("digest").distinct().withColumn("stored", F.concat(F.lit("of "), F.col("digest").cast("string")))
+    assert [(bytes(r[0]), r[1]) for r in media.often_asked(asked, 100).collect()] == [(b"0", 3)]
+    for limit in (1000, 0):  # broadcast, and joined
+        got = media.fetch(asked, shared, limit, 100).collect()
+        assert sorted((r["row_id"], r["stored"]) for r in got) == [(i, f"of {0 if i < 300 else i}") for i in range(500)]
+
+
 def test_media(spark, corpus, odd_docs, no_docs):
     long = " ".join(t for _, t in corpus) * 2
     data = [*corpus, (3000, long), (3001, long[5000:]), (3002, long), (3003, "x" * 40000), (None, None)]
