@@ -29,7 +29,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Null and empty texts stay as they are; a text may become empty; rows repeated in full are one document, whose lines stay or go
     in each of them; of lines in documents with one id, those of the lesser hash of the text come first; n_chars is counted anew
     where lines went; no documents give none; other columns go."""
-    done = lines.dedup_lines(docs.select(*COLUMNS))
+    done = lines.dedup_lines(docs.select(*COLUMNS), every=True)
     return done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

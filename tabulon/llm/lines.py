@@ -8,11 +8,15 @@ prefix-filter join over their rarest shingles. So no link that matters for the c
 family of copies costs few comparisons a line, and so do lines that are alike in common shingles only. Links become components by distributed union-find, and the first line of each
 component in the order of documents stays.
 
-Shingles have 12 characters of the lower-cased line with runs of white space as one space, or four words where these have fewer.
-They start where words start and so much of the line is left and, in words longer than a shingle, at every further place where 12
-characters of the word are left; a line of seven words or fewer also has its last 12 characters, and one that is shorter than a
-shingle is one as a whole. So they are a sample of the shingles at every place: of pairs that are similar by those, these find
-95 in 100 (a test holds 0.9).
+Shingles have 12 characters of the lower-cased line with runs of white space as one space; a line that is shorter than a shingle
+is one as a whole. With `every` they start at every place of the line, as op6_lines and the pipeline ask for. Lines are then cut
+into pieces of a few places, which overlap by a shingle: a row is a piece, with a hash for each of its places. The sets that are
+compared are made of the lines where pairs meet, as they take up many times the bytes of the lines.
+
+Without `every` shingles are a sample. They start where words start and so much of the line is left and, in words longer than a
+shingle, at every further place where 12 characters of the word are left; they end with four words where these have fewer
+characters; and a line of seven words or fewer also has its last 12 characters. Of pairs that are similar by the shingles at every
+place, these find 95 in 100 (a test holds 0.9).
 
 Defined results: null texts have no lines and stay null; blank lines always stay; lines of one short word have one shingle;
 repeated rows (same id and text) count as one document; a null id comes last in the order; other columns are carried along,
@@ -31,6 +35,9 @@ from .components import components
 
 SIMILAR = 0.8
 SHINGLE, WORDS, BANDS, ROWS = 12, 4, 7, 3
+#: Shingles at every place: so many of a line are one row; and long lines are cut into blocks first, as to look up a place takes
+#: as long as the text before it.
+PLACES, BLOCKS = 12, (4096, 256)
 #: Words up to which a line's last characters are a shingle.
 SHORT = 7
 #: In buckets of so many lines all pairs are compared at once.
@@ -74,6 +81,39 @@ def shingle_rows(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
     return places.where(whole).select(*own, F.xxhash64(text).alias("h"))
 
 
+def last_start(text: Column, size: int = SHINGLE) -> Column:
+    return F.greatest(F.lit(1), F.char_length(text) - (size - 1))
+
+
+def piece(text: Column, start: Column, places: int, size: int = SHINGLE) -> Column:
+    """What the shingles at so many places from start on are made of."""
+    return F.substring(text, start, F.lit(places + size - 1))
+
+
+def place_rows(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """A row for each piece of each plain line, with the hashes h0, h1.. of its shingles in place of the line; where a piece has
+    fewer of them, the last one again."""
+    own = [c for c in lines.columns if c != "line"]
+    cut = lines
+    for places in (*BLOCKS, PLACES):
+        starts = F.when(F.char_length("line") < places + size, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), last_start(F.col("line"), size), F.lit(places)))
+        cut = cut.select(*own, "line", F.explode(starts).alias("at")).select(*own, piece(F.col("line"), F.col("at"), places, size).alias("line"))
+    cut = cut.withColumn("last", last_start(F.col("line"), size))
+    return cut.select(*own, *[F.xxhash64(F.substring("line", F.least(F.lit(j), "last"), F.lit(size))).alias(f"h{j - 1}") for j in range(1, PLACES + 1)])
+
+
+def place_set(line: Column, size: int = SHINGLE) -> Column:
+    """The hashes of the shingles at every place of a plain line."""
+
+    def inside(text: Column, blocks: tuple[int, ...]) -> Column:
+        if not blocks:
+            return F.transform(F.sequence(F.lit(1), last_start(text, size)), lambda i: F.xxhash64(F.substring(text, i, F.lit(size))))
+        starts = F.sequence(F.lit(1), last_start(text, size), F.lit(blocks[0]))
+        return F.flatten(F.transform(F.transform(starts, lambda i: piece(text, i, blocks[0], size)), lambda part: inside(part, blocks[1:])))
+
+    return F.array_distinct(inside(line, (BLOCKS[0], 64)))
+
+
 def multipliers(n: int) -> list[int]:
     """Odd numbers of 31 bits that look random; each turns hashes into another order."""
     x, out = 1, []
@@ -83,28 +123,36 @@ def multipliers(n: int) -> list[int]:
     return out
 
 
-def bands(n: int = BANDS, rows: int = ROWS) -> list[Column]:
-    """The bucket keys of a line, aggregates over its shingles' hashes h: each of the least hashes in `rows` orders."""
-    low = F.col("h").bitwiseAND(LOW)
-    least = [F.min((low * m).bitwiseAND(LOW)) for m in multipliers(n * rows)]
+def bands(n: int = BANDS, rows: int = ROWS, hashes: tuple[str, ...] = ("h",)) -> list[Column]:
+    """The bucket keys of a line, aggregates over its shingles' hashes: each of the least hashes in `rows` orders."""
+    least = []
+    for m in multipliers(n * rows):
+        places = [(F.col(h).bitwiseAND(LOW) * m).bitwiseAND(LOW).cast("int") for h in hashes]
+        least.append(F.min(F.least(*places) if len(places) > 1 else places[0]))
     return [F.xxhash64(F.lit(b), *least[b * rows : (b + 1) * rows]) for b in range(n)]
 
 
-def signatures(lines: DataFrame) -> DataFrame:
+def signatures(lines: DataFrame, every: bool = False) -> DataFrame:
     """(id, bands, repeated) of each line; repeated: whether it stands in several places. lines: id, line, spot."""
     repeated = F.min("spot") < F.max("spot")
-    return shingle_rows(lines.select("id", "spot", "line")).groupBy("id").agg(F.array(*bands()).alias("bands"), repeated.alias("repeated"))
+    rows, hashes = (place_rows, tuple(f"h{i}" for i in range(PLACES))) if every else (shingle_rows, ("h",))
+    return rows(lines.select("id", "spot", "line")).groupBy("id").agg(F.array(*bands(hashes=hashes)).alias("bands"), repeated.alias("repeated"))
 
 
 def compared(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """Those pairs (a, b) whose sets have that Jaccard similarity."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    return both.where(alike(similar)).select("a", "b")
+    """Those pairs (a, b) whose sets have that Jaccard similarity. sets: id and set, or id and the line whose shingles at every
+    place are the set."""
+    of = sets.columns[1]
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col(of).alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col(of).alias("y")), "b")
+    x, y = (place_set(F.col("x")), place_set(F.col("y"))) if of == "line" else (F.col("x"), F.col("y"))
+    # exploded, so that sets are made once a pair and not for each use of them
+    both = both.select("a", "b", F.explode(F.array(F.struct(x.alias("x"), y.alias("y")))).alias("p"))
+    return both.where(alike(F.col("p.x"), F.col("p.y"), similar)).select("a", "b")
 
 
-def alike(similar: float) -> Column:
-    m, n, same = F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y"))
-    return (F.least(m, n) >= similar * F.greatest(m, n)) & (same >= similar * (m + n - same))
+def alike(x: Column, y: Column, similar: float) -> Column:
+    m, n, same = F.size(x), F.size(y), F.size(F.array_intersect(x, y))
+    return F.when(F.least(m, n) >= similar * F.greatest(m, n), same >= similar * (m + n - same)).otherwise(False)
 
 
 def across(rows: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
@@ -115,16 +163,16 @@ def across(rows: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     their sizes and the shingle's places leave room for enough in common. The work follows shared rare shingles, not the
     number of lines. A bit map has one of 256 bits turned over for each shingle; two lines' maps differ in no more bits than the
     lines differ in shingles, so most of the lines that meet are told apart before their shingles are compared."""
-    lines = keep(rows.select("id", "component").distinct().join(sets, "id"), "line-crowds")
+    lines = rows.select("id", "component").distinct().join(sets, "id")
+    lines = keep(lines if "set" in sets.columns else lines.select("id", "component", place_set(F.col("line")).alias("set")), "line-crowds")
     shingles = lines.select("id", "component", F.explode("set").alias("t"))
     often = shingles.groupBy("t").agg(F.count("*").alias("f"))
     word = F.col("t").bitwiseAND(3)
     maps = [F.bit_xor(F.when(word == i, F.expr("shiftleft(1L, cast(shiftrightunsigned(t, 2) & 63 AS int))")).otherwise(F.lit(0).cast("long"))).alias(f"p{i}") for i in range(4)]
-    ranked = shingles.join(often, "t").groupBy("id", "component").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("s"), *maps).withColumns({"n": F.size("s"), "set": F.col("s.t")})
+    ranked = shingles.join(often, "t").groupBy("id", "component").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("s"), *maps).withColumn("n", F.size("s"))
     width = F.col("n") - F.ceil(F.col("n") * similar - 1e-9).cast("int") + 1
-    own = ["id", "component", "n", "set", *[f"p{i}" for i in range(4)]]
-    ranked = ranked.select(*own, F.filter(F.transform(F.slice("s", F.lit(1), width), lambda x, i: F.struct(x["t"].alias("t"), i.alias("at"), x["f"].alias("f"))), lambda x: x["f"] > 1).alias("s"))
-    first = ranked.select(*own, F.col("s.t").alias("first"), F.explode("s").alias("x")).select(*own, "first", "x.at", "x.t")
+    own = ["id", "component", "n", *[f"p{i}" for i in range(4)]]
+    first = ranked.select(*own, F.posexplode(F.slice("s", F.lit(1), width)).alias("at", "x")).where("x.f > 1").select(*own, "at", "x.t")
     first = keep(first, "line-prefixes")
     a, b = first.alias("l"), first.alias("r")
     two = lambda c: (F.col(f"l.{c}"), F.col(f"r.{c}"))
@@ -132,13 +180,11 @@ def across(rows: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     room = F.least(m - i, n - j) >= similar / (1 + similar) * (m + n) - 1e-6
     differ = reduce(Column.__add__, [F.bit_count(two(f"p{k}")[0].bitwiseXOR(two(f"p{k}")[1])) for k in range(4)])
     near = (F.least(m, n) >= similar * F.greatest(m, n) - 1e-6) & room & (differ <= (1 - similar) / (1 + similar) * (m + n) + 1e-6)
-    once = F.get(F.array_intersect(*two("first")), F.lit(0)) == F.col("l.t")  # two lines meet at the first shingle that they share
-    common = F.size(F.array_intersect(*two("set")))
-    alike = common >= similar * (m + n - common)
-    return a.join(b.hint("merge"), (F.col("l.t") == F.col("r.t")) & (F.col("l.component") < F.col("r.component")) & near & once & alike).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+    pairs = a.join(b.hint("merge"), (F.col("l.t") == F.col("r.t")) & (F.col("l.component") < F.col("r.component")) & near).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+    return compared(keep(pairs.distinct(), "line-pairs"), lines.select("id", "set"), similar)
 
 
-def similar_lines(lines: DataFrame, signed: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def similar_lines(lines: DataFrame, signed: DataFrame, similar: float = SIMILAR, every: bool = False) -> DataFrame:
     """Links (a, b) between ids of different lines whose shingles have that Jaccard similarity: all that matter for the components
     of the lines that share a bucket. lines: id, line, an id once or more; signed: their signatures, written."""
     keyed = signed.select("id", F.explode("bands").alias("key"))
@@ -148,7 +194,7 @@ def similar_lines(lines: DataFrame, signed: DataFrame, similar: float = SIMILAR)
     same = rows.groupBy("key").agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64(F.lit(i), "id")).alias(f"x{i}") for i in (0, 1)])
     rows = keep(rows.join(same.groupBy("n", "x0", "x1").agg(F.min("key").alias("key")).select("key", "n"), "key"), "line-buckets")
     wanted = join_small(lines.select("id", "line"), rows.select("id").distinct(), ["id"], limit=MOST_BROADCAST, copies=1).distinct()
-    sets = keep(shingle_rows(wanted).groupBy("id").agg(F.collect_set("h").alias("set")), "line-sets")
+    sets = keep(wanted if every else shingle_rows(wanted).groupBy("id").agg(F.collect_set("h").alias("set")), "line-sets")
 
     small = rows.where(F.col("n") <= FEW).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     pairs = small.select("ids", F.posexplode("ids").alias("i", "a")).select("a", F.explode(F.slice("ids", F.lit(1), F.col("i"))).alias("b"))
@@ -166,11 +212,12 @@ def similar_lines(lines: DataFrame, signed: DataFrame, similar: float = SIMILAR)
     return links.union(keep(across(rows.join(apart, "key"), sets, similar), "line-links"))
 
 
-def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """The columns of docs, with the text less the lines that go, and n_lines and n_removed."""
+def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similar: float = SIMILAR, every: bool = False) -> DataFrame:
+    """The columns of docs, with the text less the lines that go, and n_lines and n_removed. every: whether lines are compared by
+    their shingles at every place, not by a sample."""
     lines = keep(line_table(docs, key, text), "lines")
-    signed = keep(signatures(lines), "line-signatures")
-    group = keep(components(similar_lines(lines, signed, similar)), "line-components")
+    signed = keep(signatures(lines, every), "line-signatures")
+    group = keep(components(similar_lines(lines, signed, similar, every)), "line-components")
     # only lines that stand twice or are like others can go
     members = group.union(signed.where("repeated").select("id", F.col("id").alias("component")).join(group.select("id"), "id", "left_anti"))
     members = keep(members, "line-members")
@@ -192,5 +239,5 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sim
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    done = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), every=True)
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
