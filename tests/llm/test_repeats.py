@@ -113,6 +113,20 @@ def test_hot_anchor_of_bytes_is_cut(spark, window, k):
         assert (got[i]["n_removed"], bytes(got[i]["kept"])) == (sum(gone), kept)
 
 
+def test_finer_levels_move_texts_of_hot_anchors_only(spark, monkeypatch):
+    """Documents that share nothing, or little, are not read again for each level."""
+    rng = random.Random(17)
+    plain_ones = [(1000 + i, " ".join(f"v{rng.randrange(10**9)}" for _ in range(60))) for i in range(100)]
+    data = [*notices(40), *plain_ones, plain_ones[0]]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    named = repeats.one_each(docs.selectExpr("text", "xxhash64(doc_id, text) AS doc"))
+    found = repeats.repeated_segments(named, byterepeats.byte_values, 400, 32, wide=True)
+    levels, finer = [], repeats.finer_segments
+    monkeypatch.setattr(repeats, "finer_segments", lambda texts, *rest: levels.append(texts.count()) or finer(texts, *rest))
+    repeats.bounded_segments(named, found, byterepeats.byte_values, 400, 32, 3000)
+    assert len(levels) > 1 and set(levels) <= set(range(1, 61))
+
+
 def test_shards_have_a_bounded_share():
     assert byterepeats.shard_count(0, 4) == 8 and byterepeats.shard_count(10**9 + 1, 4) == 1001
 
