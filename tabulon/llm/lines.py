@@ -44,6 +44,8 @@ SHORT = 7
 FEW = 32
 #: So many line ids or bucket keys (16 bytes each) may be broadcast.
 MOST_BROADCAST = 2_000_000
+#: A line's bit map has so many words of 64 bits.
+MAP_WORDS = 16
 #: Orders are of so many bits of a hash.
 LOW = (1 << 31) - 1
 
@@ -92,14 +94,24 @@ def piece(text: Column, start: Column, places: int, size: int = SHINGLE) -> Colu
 
 def place_rows(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
     """A row for each piece of each plain line, with the hashes h0, h1.. of its shingles in place of the line; where a piece has
-    fewer of them, the last one again."""
+    fewer of them, the last one again.
+
+    A line of ASCII characters is looked up by its bytes, at whatever place; others are cut into blocks and pieces first."""
     own = [c for c in lines.columns if c != "line"]
-    cut = lines
-    for places in (*BLOCKS, PLACES):
-        starts = F.when(F.char_length("line") < places + size, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), last_start(F.col("line"), size), F.lit(places)))
-        cut = cut.select(*own, "line", F.explode(starts).alias("at")).select(*own, piece(F.col("line"), F.col("at"), places, size).alias("line"))
-    cut = cut.withColumn("last", last_start(F.col("line"), size))
-    return cut.select(*own, *[F.xxhash64(F.substring("line", F.least(F.lit(j), "last"), F.lit(size))).alias(f"h{j - 1}") for j in range(1, PLACES + 1)])
+    ascii_ = F.octet_length("line") == F.char_length("line")
+    cut = lines.select(*own, F.when(ascii_, F.col("line").cast("binary")).alias("flat"), F.when(~ascii_, F.col("line")).alias("line"))
+    for places in BLOCKS:
+        starts = F.when(F.col("line").isNull() | (F.char_length("line") < places + size), F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), last_start(F.col("line"), size), F.lit(places)))
+        cut = cut.select(*own, "flat", "line", F.explode(starts).alias("at")).select(*own, "flat", piece(F.col("line"), F.col("at"), places, size).alias("line"))
+    cut = cut.withColumn("last", F.greatest(F.lit(1), F.coalesce(F.octet_length("flat"), F.char_length("line")) - (size - 1)))
+    cut = cut.select(*own, "flat", "line", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(PLACES))).alias("at"))
+    cut = cut.select(*own, "flat", "at", piece(F.col("line"), F.col("at"), PLACES, size).alias("line"), (F.col("last") - F.col("at")).alias("left"))
+
+    def shingle(j: int) -> Column:
+        at = F.least(F.lit(j), "left")
+        return F.when(F.col("flat").isNotNull(), F.substring("flat", F.col("at") + at, F.lit(size))).otherwise(F.substring("line", at + 1, F.lit(size)).cast("binary"))
+
+    return cut.select(*own, *[F.xxhash64(shingle(j)).alias(f"h{j}") for j in range(PLACES)])
 
 
 def place_set(line: Column, size: int = SHINGLE) -> Column:
@@ -161,27 +173,42 @@ def across(rows: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     A line's shingles stand in one order for all lines, the rarest first. Two similar lines have so many shingles in common that
     some shingle is among the first (1 - similar) n + 1 of both; so only lines that share one of these meet, and only where
     their sizes and the shingle's places leave room for enough in common. The work follows shared rare shingles, not the
-    number of lines. A bit map has one of 256 bits turned over for each shingle; two lines' maps differ in no more bits than the
-    lines differ in shingles, so most of the lines that meet are told apart before their shingles are compared."""
+    number of lines. A bit map has one of 1024 bits turned over for each shingle; two lines' maps differ in no more bits than the
+    lines differ in shingles, so most of the lines that meet are told apart before their shingles are compared. At first one line
+    of each component stands for it under a shingle; the components that this links are one, and all lines of those that are
+    still different meet then. So a component of many lines meets another one by few of them where they are alike."""
     lines = rows.select("id", "component").distinct().join(sets, "id")
     lines = keep(lines if "set" in sets.columns else lines.select("id", "component", place_set(F.col("line")).alias("set")), "line-crowds")
     shingles = lines.select("id", "component", F.explode("set").alias("t"))
     often = shingles.groupBy("t").agg(F.count("*").alias("f"))
-    word = F.col("t").bitwiseAND(3)
-    maps = [F.bit_xor(F.when(word == i, F.expr("shiftleft(1L, cast(shiftrightunsigned(t, 2) & 63 AS int))")).otherwise(F.lit(0).cast("long"))).alias(f"p{i}") for i in range(4)]
-    ranked = shingles.join(often, "t").groupBy("id", "component").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("s"), *maps).withColumn("n", F.size("s"))
+    word = F.col("t").bitwiseAND(MAP_WORDS - 1)
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(t, 32) & 63 AS int))")
+    maps = [f"p{i}" for i in range(MAP_WORDS)]
+    turned = [F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(p) for i, p in enumerate(maps)]
+    ranked = shingles.join(often, "t").groupBy("id", "component").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("s"), *turned).withColumn("n", F.size("s"))
     width = F.col("n") - F.ceil(F.col("n") * similar - 1e-9).cast("int") + 1
-    own = ["id", "component", "n", *[f"p{i}" for i in range(4)]]
+    own = ["id", "component", "n", *maps]
     first = ranked.select(*own, F.posexplode(F.slice("s", F.lit(1), width)).alias("at", "x")).where("x.f > 1").select(*own, "at", "x.t")
     first = keep(first, "line-prefixes")
-    a, b = first.alias("l"), first.alias("r")
-    two = lambda c: (F.col(f"l.{c}"), F.col(f"r.{c}"))
-    (m, n), (i, j) = two("n"), two("at")
-    room = F.least(m - i, n - j) >= similar / (1 + similar) * (m + n) - 1e-6
-    differ = reduce(Column.__add__, [F.bit_count(two(f"p{k}")[0].bitwiseXOR(two(f"p{k}")[1])) for k in range(4)])
-    near = (F.least(m, n) >= similar * F.greatest(m, n) - 1e-6) & room & (differ <= (1 - similar) / (1 + similar) * (m + n) + 1e-6)
-    pairs = a.join(b.hint("merge"), (F.col("l.t") == F.col("r.t")) & (F.col("l.component") < F.col("r.component")) & near).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-    return compared(keep(pairs.distinct(), "line-pairs"), lines.select("id", "set"), similar)
+
+    def links_among(first: DataFrame) -> DataFrame:
+        a, b = first.alias("l"), first.alias("r")
+        two = lambda c: (F.col(f"l.{c}"), F.col(f"r.{c}"))
+        (m, n), (i, j) = two("n"), two("at")
+        room = F.least(m - i, n - j) >= similar / (1 + similar) * (m + n) - 1e-6
+        differ = reduce(Column.__add__, [F.bit_count(two(p)[0].bitwiseXOR(two(p)[1])) for p in maps])
+        near = (F.least(m, n) >= similar * F.greatest(m, n) - 1e-6) & room & (differ <= (1 - similar) / (1 + similar) * (m + n) + 1e-6)
+        pairs = a.join(b.hint("merge"), (F.col("l.t") == F.col("r.t")) & (F.col("l.component") < F.col("r.component")) & near).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+        return keep(compared(keep(pairs.distinct(), "line-pairs"), lines.select("id", "set"), similar), "line-links")
+
+    each = first.groupBy("t", "component").agg(F.min(F.struct("id", "n", "at", *maps)).alias("x")).select("t", "component", "x.*")
+    links = links_among(each)
+    label = lambda c: lines.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
+    larger = components(links.join(label("a"), "a").join(label("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+    larger = keep(larger.select(F.col("id").alias("component"), F.col("component").alias("larger")), "line-groups")
+    first = join_small(first, larger, ["component"], how="left", limit=MOST_BROADCAST, copies=1)
+    first = first.withColumn("component", F.coalesce("larger", "component")).drop("larger")
+    return links.union(links_among(first))
 
 
 def similar_lines(lines: DataFrame, signed: DataFrame, similar: float = SIMILAR, every: bool = False) -> DataFrame:

@@ -274,6 +274,26 @@ def test_line_families_are_whole(spark):
     assert got == component_sets(meet)
 
 
+def test_large_components_meet_by_few_lines(spark, monkeypatch):
+    """A component of 60 lines and 30 lines like all of them: few of the pairs are compared, and all lines are linked."""
+    rng = random.Random(21)
+    base = [f"word{rng.randrange(10**5)}" for _ in range(60)]
+    names = [" ".join([*base[: i % 60], f"other{i * 7919}", *base[i % 60 + 1 :]]) for i in range(90)]
+    rows = spark.createDataFrame([(i, max(0, i - 59)) for i in range(90)], "id long, component long")
+    written, keep = [], lines.keep
+
+    def counted(df, name):
+        out = keep(df, name)
+        written.append(out.count() if name == "line-pairs" else 0)
+        return out
+
+    monkeypatch.setattr(lines, "keep", counted)
+    links = lines.across(rows, spark.createDataFrame(list(enumerate(names)), "id long, line string"), 0.8)
+    sets = component_sets([(i, 0) for i in range(60)] + [tuple(r) for r in links.collect()])
+    assert set(sets.values()) == {0} and len(sets) == 90
+    assert 29 <= sum(written) < 1200  # of 2235 pairs of lines of different components
+
+
 def test_a_chain_of_lines_is_one_component(spark):
     """200 lines, each with one word of the last one changed: most are unlike each other, and many share buckets."""
     rng = random.Random(9)
