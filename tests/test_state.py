@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulon.functions.schema import ColumnSchema, TableSchema
-from tabulon.operators import encode, federate, learn, split, synth
+from tabulon.operators import encode, federate, learn, privacy, split, synth
 from tabulon.plans import suite
 from tabulon.streaming import monitor
 
@@ -133,6 +133,25 @@ def test_report_as_a_query_is_small(spark):
     assert "Join" not in plan and plan.count("Aggregate") == 1 and plan.count("Relation") == 5
 
 
+def test_both_reports_score_by_the_same_models(spark, monkeypatch):
+    """A report of the whole and one by client over the same tables fit each model once, and score each row once."""
+    ctx, fits, plain = scored_tables(spark)[1].written(), [], learn._plain
+    monkeypatch.setattr(learn, "_plain", lambda model, s: (fits.append(1), plain(model, s))[1])
+    for by_client in (False, True):
+        assert suite.report(ctx, ["utility", "fairness"], by_client=by_client).where("key = 'utility.tstr_auc' AND value IS NOT NULL").count() == 1
+    assert len(fits) == 2
+    fitted = ctx.models["fit_for", tuple(ctx.columns(ctx.syn).columns), "y", ()]
+    assert "UDF" not in learn.task_scores(fitted, ctx.columns(ctx.holdout), "y")._jdf.queryExecution().optimizedPlan().toString()
+    assert not dataclasses.replace(ctx, syn=ctx.syn.limit(0)).models
+
+
+def test_distances_are_worked_out_once(spark):
+    """The probe's scores read its distances three times."""
+    df = spark.range(50).select("id", (F.col("id") * 7 % 11).cast("double").alias("x"))
+    plan = privacy.membership_scores(privacy.nearest_distances(df.withColumn("label", F.lit(1)), df, ["x"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan
+
+
 def test_report_and_registration(spark):
     df, ctx = scored_tables(spark)
     for by_client in (False, True):
