@@ -12,6 +12,7 @@ from tabulon.functions.exprs import hash_u01
 from tabulon.functions.schema import ColumnSchema, TableSchema
 from tabulon.functions.tables import as_of, cut_at
 from tabulon.operators import bayes, copula, rounds, split, synth
+from tabulon.plans import queries
 from tabulon.streaming.monitor import EarlyStop
 
 GRID = [i / 4 for i in range(5)]
@@ -109,6 +110,30 @@ def test_three_modes_stay_three(spark):
     assert bayes.fit_modes(df.withColumn("x", F.lit(4.0)), ["x"]).toPandas()["mean"].round(3).tolist().count(4.0) >= 1
 
 
+def test_the_query_fits_until_modes_settle(spark, monkeypatch):
+    """The rounds of the query, each worked out here, go on until modes stay where they are; a fit that has too few says so."""
+    d, seen = "/root/testdata/sf0.001", []
+    v = spark.read.parquet(f"{d}/orders.parquet").toPandas()["o_totalprice"].to_numpy()
+
+    def plain_round(counts, now, prior):
+        p, x = now["o_totalprice"], v - v.mean()
+        logs = p.offsets() - (v[:, None] - p.mean) ** 2 / (2 * p.variance)
+        r = np.exp(logs - logs.max(axis=1, keepdims=True))
+        r /= r.sum(axis=1, keepdims=True)
+        seen.append(bayes.posterior(r.sum(axis=0), x @ r, (x * x) @ r, 0.0, v.var(ddof=1)))
+        seen[-1].mean = seen[-1].mean + v.mean()
+        return {"o_totalprice": seen[-1]}
+
+    monkeypatch.setattr(bayes, "dp_round", plain_round)
+    got = queries.QUERIES["fit_modes"](spark, d).orderBy("mode").toPandas()
+    old, new = seen[-2:]
+    stay = np.maximum(old.weights(), new.weights()) > bayes.LEAST
+    assert np.abs(new.weights() - old.weights()).max() < 1e-3 and (np.abs(new.mean - old.mean) / np.sqrt(new.variance))[stay].max() < 1e-3
+    assert len(got) == (new.weights() > bayes.LEAST).sum() and np.allclose(got["mean"], np.sort(new.mean[new.weights() > bayes.LEAST]))
+    with pytest.warns(UserWarning, match="not settled"):
+        bayes.fit_modes(spark.read.parquet(f"{d}/orders.parquet"), ["o_totalprice"], rounds=2)
+
+
 def test_dp_round_is_that_of_numpy(spark):
     rng = np.random.default_rng(4)
     v = np.round(np.concatenate([rng.normal(100, 1, 200), rng.normal(104, 1, 100)]), 1)
